@@ -51,12 +51,13 @@ def row_mean(cols: Sequence[Column]) -> Column:
     return F.try_divide(total, row_count(cols))
 
 
-def row_std(cols: Sequence[Column]) -> Column:
-    """Sample standard deviation over the present values, two passes; NULL below two values."""
-    mean = row_mean(cols)
-    deviations = _total(
-        [F.coalesce((c - mean) * (c - mean), F.lit(0.0)) for c in [c.cast("double") for c in cols]]
-    )
+def row_std(cols: Sequence[Column], mean: Column) -> Column:
+    """Sample standard deviation over the present values; NULL below two values.
+
+    ``mean`` should be a column already projected: repeating its expression per
+    value makes generated code outgrow what the JVM compiles.
+    """
+    deviations = _total([F.coalesce(F.pow(c.cast("double") - mean, F.lit(2.0)), F.lit(0.0)) for c in cols])
     n = row_count(cols)
     return F.when(n >= 2, F.sqrt(deviations / F.nullif(n - 1, F.lit(0))))
 

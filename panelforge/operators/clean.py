@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..config import COUNTRY_CODES, RATING_CODES, YEARS
 from ..functions.scalars import col, normalize_missing
-from ..session import broadcast_if_small, cut_lineage, is_small
+from ..session import cut_lineage, is_small
 
 SINGLE_TASK_CATEGORIES = 1_000_000
 
@@ -74,10 +74,15 @@ def composite_key(df: DataFrame, out: str, parts: Sequence[str], sep: str = "_")
 
 def category_codes(df: DataFrame, name: str, small: int = SINGLE_TASK_CATEGORIES) -> DataFrame:
     """Dimension table (category, code): sorted distinct values numbered from 0."""
+    return _codes(df, name, small)[0]
+
+
+def _codes(df: DataFrame, name: str, small: int) -> tuple[DataFrame, bool]:
+    """The dimension table and whether it was found to be small."""
     distinct = df.where(col(name).isNotNull()).select(col(name).alias("category")).distinct()
     if is_small(distinct, small):
         order = Window.partitionBy(F.lit(0)).orderBy("category")
-        return distinct.select("category", (F.row_number().over(order) - 1).cast("long").alias("code"))
+        return distinct.select("category", (F.row_number().over(order) - 1).cast("long").alias("code")), True
     ranged = distinct.repartitionByRange("category").withColumn("_part", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
@@ -85,19 +90,24 @@ def category_codes(df: DataFrame, name: str, small: int = SINGLE_TASK_CATEGORIES
     # one row per partition of the range shuffle
     offsets = parts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("_part").orderBy("category")
-    return (
+    codes = (
         ranged.withColumn("_rank", F.row_number().over(within))
         .join(F.broadcast(offsets), "_part")
         .select("category", (F.col("_offset") + F.col("_rank") - 1).alias("code"))
     )
+    return codes, False
+
 
+def label_encode(df: DataFrame, name: str, small: int = SINGLE_TASK_CATEGORIES) -> tuple[DataFrame, DataFrame]:
+    """Replace a category by its code; also returns the dimension table.
 
-def label_encode(df: DataFrame, name: str, codes: DataFrame | None = None) -> DataFrame:
-    """Replace a category by its code."""
-    codes = category_codes(df, name) if codes is None else codes
-    small = broadcast_if_small(codes.select(F.col("category").alias("_category"), F.col("code").alias("_code")))
-    joined = df.join(small, col(name) == F.col("_category"), "left")
-    return joined.select(*[F.col("_code").alias(c) if c == name else col(c) for c in df.columns])
+    A dimension too large to broadcast is joined by shuffle, where adaptive execution
+    splits a category that fills much of the data.
+    """
+    codes, bounded = _codes(df, name, small)
+    side = codes.select(F.col("category").alias("_category"), F.col("code").alias("_code"))
+    joined = df.join(F.broadcast(side) if bounded else side, col(name) == F.col("_category"), "left")
+    return joined.select(*[F.col("_code").alias(c) if c == name else col(c) for c in df.columns]), codes
 
 
 def scale_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float]]:
@@ -132,8 +142,10 @@ def remove_rows(df: DataFrame, key: str = "Company name", order: str = "row_id",
 
 
 def clean_panel(df: DataFrame, order: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """Cleaned and encoded panel with the sector dimension table."""
-    rows = map_values(remove_rows(df, order=order), rating_maps())
-    keyed = composite_key(rows, "Combined_Sector", ["Sector 2", "Sector 1"])
-    codes = category_codes(keyed, "Combined_Sector")
-    return label_encode(keyed, "Combined_Sector", codes), codes
+    """Cleaned and encoded panel with the sector dimension table.
+
+    The kept rows are stored once: encoding and every later step read them more than once.
+    """
+    rows = cut_lineage(remove_rows(df, order=order))
+    keyed = composite_key(map_values(rows, rating_maps()), "Combined_Sector", ["Sector 2", "Sector 1"])
+    return label_encode(keyed, "Combined_Sector")

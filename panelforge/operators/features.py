@@ -50,9 +50,10 @@ def add_growth(df: DataFrame, metrics: Sequence[str] = METRICS, years: Sequence[
 
 
 def add_volatility(df: DataFrame, metrics: Sequence[str] = METRICS, years: Sequence[str] = YEARS) -> DataFrame:
-    return df.withColumns(
-        {f"volatility_{m}": row_std([col(c) for c in year_columns(df, m, years)]) for m in metrics}
-    )
+    values = {m: [col(c) for c in year_columns(df, m, years)] for m in metrics}
+    centred = df.withColumns({f"_centre_{m}": row_mean(v) for m, v in values.items()})
+    spread = centred.withColumns({f"volatility_{m}": row_std(v, col(f"_centre_{m}")) for m, v in values.items()})
+    return spread.drop(*[f"_centre_{m}" for m in metrics])
 
 
 def add_ratios(df: DataFrame) -> DataFrame:
