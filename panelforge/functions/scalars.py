@@ -37,6 +37,20 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     )
 
 
+def complete_rows(df: DataFrame) -> DataFrame:
+    """Rows with neither NULL nor NaN.
+
+    One test per column: a single test over all columns makes the optimizer's constraint
+    inference grow exponentially once the columns are renamed.
+    """
+    keep = F.lit(True)
+    for f in df.schema.fields:
+        keep = keep & col(f.name).isNotNull()
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            keep = keep & ~F.isnan(col(f.name))
+    return df.where(keep)
+
+
 def _total(parts: Sequence[Column]) -> Column:
     return reduce(add, parts)
 

@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col
+from ..functions.scalars import col, complete_rows
 
 ROWS_PER_BUCKET = 250_000
 
@@ -74,7 +74,7 @@ def value_buckets(
         *[col(k).alias(k) for k in keep], *[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
     )
     names = [f"v{i}" for i in range(len(cols))]
-    slim = slim.na.drop(subset=names)
+    slim = complete_rows(slim)
     n = slim.count()
     wanted = math.ceil(n / rows_per_bucket)
     if wanted <= 1:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import col
+from ..functions.scalars import col, complete_rows
 
 TREES = 100
 TREE_ROWS = 256
@@ -33,7 +33,8 @@ def tree_samples(df: DataFrame, key: str, cols: Sequence[str], n: int, trees: in
     Few rows: every tree draws from all of them. Many rows: a hash picks a pool about four
     times what all trees need and deals it out, so rows are not multiplied by trees.
     """
-    slim = df.select(col(key).cast("string").alias("_key"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).na.drop()
+    values = [col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
+    slim = complete_rows(df.select(col(key).cast("string").alias("_key"), *values))
     need = trees * rows * 4
     unit = F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 40))
     if n <= need:
@@ -77,8 +78,7 @@ def anomaly_scores(
     df: DataFrame, key: str, cols: Sequence[str], trees: int = TREES, rows: int = TREE_ROWS, seed: int = 42, out: str = "_score"
 ) -> DataFrame:
     """``df`` with an anomaly score in (0, 1], NULL for incomplete rows."""
-    complete = df.select(*[col(c) for c in cols]).na.drop()
-    n = complete.count()
+    n = complete_rows(df.select(*[col(c) for c in cols])).count()
     size = min(rows, n)
     samples = tree_samples(df, key, cols, n, trees, size, seed)
     limit = int(np.ceil(np.log2(max(size, 2))))
@@ -110,6 +110,6 @@ def anomaly_scores(
             result[np.isnan(x).any(axis=1)] = np.nan
             yield pd.Series(result)
 
-    scorer = F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
+    scorer = F.pandas_udf(score, "double")
     scored = df.withColumn(out, scorer(*[col(c).cast("double") for c in cols]))
     return scored.withColumn(out, F.nanvl(F.col(out), F.lit(None)))
