@@ -1,8 +1,8 @@
 """Registered queries and the SQL that checks them."""
 
-from . import featuring, profiling
+from . import correlating, featuring, outlying, profiling, shaping
 
-MODULES = [profiling, featuring]
+MODULES = [profiling, featuring, outlying, shaping, correlating]
 
 
 def queries() -> dict:
