@@ -1,8 +1,8 @@
 """Registered queries and the SQL that checks them."""
 
-from . import correlating, featuring, outlying, profiling, shaping
+from . import correlating, featuring, modelling, outlying, profiling, shaping, sourcing
 
-MODULES = [profiling, featuring, outlying, shaping, correlating]
+MODULES = [profiling, featuring, outlying, shaping, correlating, modelling, sourcing]
 
 
 def queries() -> dict:

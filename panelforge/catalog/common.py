@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import col
 from ..operators.clean import clean_panel
 from ..operators.features import build_features
+from ..session import cut_lineage
 from ..sources.panel import company_panel
 from ..sources.tables import read_table as table
 
@@ -33,7 +34,8 @@ def cleaned_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_frame(spark: SparkSession, d: str) -> DataFrame:
-    return build_features(cleaned_panel(spark, d))
+    """Features of the cleaned panel, stored as the plans store them."""
+    return cut_lineage(build_features(cleaned_panel(spark, d)))
 
 
 def points(spark: SparkSession, d: str, dims: int = EMBED_DIMS) -> DataFrame:

@@ -8,7 +8,6 @@ from ..config import CONTINUOUS, StatisticConfig
 from ..functions import shape as fx
 from ..functions.scalars import col
 from ..operators import power, shape
-from ..operators.quantiles import long_form
 from .common import feature_frame, long_sql, r, table
 from .panel_sql import FEATURES
 
@@ -47,8 +46,7 @@ GRID = [i / 4 for i in range(-8, 9)]
 
 
 def _grid_fit(df, cols, method="yeo-johnson"):
-    long = long_form(df, cols)
-    return power.best_lambda(power.score_lambdas(long, {c: GRID for c in cols}, method)).select("column", "lam")
+    return power.best_lambda(power.score_lambdas(df, {c: GRID for c in cols}, method)).select("column", "lam")
 
 
 def _grid_sql(long: str, value: str, jac: str, grid) -> str:

@@ -40,25 +40,12 @@ def box_cox(x: Column, lam: Column) -> Column:
     return F.when(lam == 0, log).otherwise(F.try_divide(F.expm1(lam * log), lam))
 
 
-def yeo_johnson_log_jacobian(x: Column) -> Column:
-    return F.signum(x) * F.log1p(F.abs(x))
-
-
-def box_cox_log_jacobian(x: Column) -> Column:
-    return F.when(x > 0, F.ln(x))
-
-
 #: transforms that need no fitting; "power" is fitted (see operators.power)
 PLAIN_TRANSFORMS: MappingProxyType = MappingProxyType(
     {"sqrt": clipped_sqrt, "inv_sqrt": inverse_sqrt, "inv": inverse}
 )
 
-POWER_METHODS: MappingProxyType = MappingProxyType(
-    {
-        "yeo-johnson": (yeo_johnson, yeo_johnson_log_jacobian),
-        "box-cox": (box_cox, box_cox_log_jacobian),
-    }
-)
+POWER_METHODS: MappingProxyType = MappingProxyType({"yeo-johnson": yeo_johnson, "box-cox": box_cox})
 
 
 class TransformRegistry:

@@ -15,7 +15,7 @@ from ..functions.scalars import col
 from ..session import broadcast_if_small, cut_lineage
 from .dbscan import noise_points
 from .forest import anomaly_scores
-from .neighbors import join_points, local_outlier_factor, weighted_points
+from .neighbors import join_points, local_outlier_factor, point_condition, weighted_points
 from .quantiles import ACCURACY, column_quantiles, grouped_quantiles, long_form
 
 BUCKET_ROWS = 50_000
@@ -124,8 +124,8 @@ def isolation_filter(df: DataFrame, cols: Sequence[str], key: str, contamination
 def noise_filter(df: DataFrame, cols: Sequence[str], key: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """Drop rows that density clustering calls noise."""
     noise = noise_points(df, key, cols, eps, min_samples)
-    on = _all((col(c).cast("double") + F.lit(0.0)) == F.col(f"x{i}") for i, c in enumerate(cols))
-    return df.join(noise, on, "left_anti")
+    on, names = point_condition(cols)
+    return df.join(noise.withColumnsRenamed(names), on, "left_anti")
 
 
 def drop_outliers(df: DataFrame, cols: Sequence[str], method: str, key: str, config: StatisticConfig | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import col, finite
 from ..functions.shape import POLE_EPS, TransformRegistry
+from ..session import spread
 from .clean import drop_missing, standard_scale
 from .power import fit_power
 from .quantiles import long_form
@@ -17,7 +18,7 @@ from .sampling import stratified_sample
 
 log = logging.getLogger(__name__)
 
-REPORT_SCHEMA = "column string, transform string, skew double, kurt double"
+IDENTITY = "identity"
 
 
 def _rounded(c: Column, digits: int = 2) -> Column:
@@ -49,30 +50,39 @@ def shape_report(
     if lambdas:
         table = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(float(lambdas[c])))])
         lam = table[F.col("column")]
-    aggs = [F.skewness(value).alias("s"), F.kurtosis(value).alias("k")]
-    aggs.append(F.count_if(value + F.lit(POLE_EPS) == 0).alias("poles"))
-    for i, t in enumerate(names):
-        shaped = finite(registry.build(t, value, lam))
-        aggs += [F.skewness(shaped).alias(f"s{i}"), F.kurtosis(shaped).alias(f"k{i}")]
-    wide = long_form(df, cols).groupBy("column").agg(*aggs)
-
-    def after(i: int, t: str, m: str) -> Column:
-        found = F.col(f"{m}{i}")
-        return F.when(F.col("poles") == 0, found) if registry.has_pole(t) else found
-
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("transform"),
-                _rounded(F.col("s")).alias("skew_before"),
-                _rounded(after(i, t, "s")).alias("skew_after"),
-                _rounded(F.col("k")).alias("kurt_before"),
-                _rounded(after(i, t, "k")).alias("kurt_after"),
-            )
-            for i, t in enumerate(names)
-        ]
+    at_pole = value + F.lit(POLE_EPS) == 0
+    versions = [F.struct(F.lit(IDENTITY).alias("transform"), value.alias("y"), F.lit(False).alias("pole"))]
+    for t in names:
+        pole = at_pole if registry.has_pole(t) else F.lit(False)
+        versions.append(F.struct(F.lit(t).alias("transform"), registry.build(t, value, lam).alias("y"), pole.alias("pole")))
+    # one small aggregate over (column, transform) rows: generated code stays within JIT limits
+    rows = long_form(spread(df), cols).select("column", F.inline(F.array(*versions)))
+    y = finite(F.col("y"))
+    measured = (
+        rows.select("column", "transform", y.alias("y"), "pole")
+        .groupBy("column", "transform")
+        .agg(F.skewness("y").alias("s"), F.kurtosis("y").alias("k"), F.count_if(F.col("pole")).alias("poles"))
+    )
+    usable = F.col("poles") == 0
+    per_column = measured.groupBy("column").agg(
+        F.max(F.when(F.col("transform") == IDENTITY, F.col("s"))).alias("s0"),
+        F.max(F.when(F.col("transform") == IDENTITY, F.col("k"))).alias("k0"),
+        F.collect_list(
+            F.struct("transform", F.when(usable, F.col("s")).alias("s"), F.when(usable, F.col("k")).alias("k"))
+        ).alias("after"),  # one entry per transform
+    )
+    return (
+        per_column.select("column", "s0", "k0", F.inline("after"))
+        .where(F.col("transform") != IDENTITY)
+        .select(
+            "column",
+            "transform",
+            _rounded(F.col("s0")).alias("skew_before"),
+            _rounded(F.col("s")).alias("skew_after"),
+            _rounded(F.col("k0")).alias("kurt_before"),
+            _rounded(F.col("k")).alias("kurt_after"),
+        )
     )
-    return wide.select("column", F.inline(rows))
 
 
 def analyze_shape(
@@ -107,7 +117,7 @@ def optimal_transforms(table: DataFrame, order: Sequence[str] | None = None) ->
     best = table.groupBy("column").agg(F.min_by(F.struct("transform", "skew", "kurt"), rank).alias("best"))
     return best.select(
         "column",
-        F.coalesce(F.col("best.transform"), F.lit("identity")).alias("transform"),
+        F.coalesce(F.col("best.transform"), F.lit(IDENTITY)).alias("transform"),
         F.col("best.skew").alias("skew"),
         F.col("best.kurt").alias("kurt"),
     )

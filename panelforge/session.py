@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SPLIT_BYTES = 64 * 1024 * 1024
+
 
 def local_session(app: str = "panelforge", cpus: str | int = "*", **conf) -> SparkSession:
     """A session for tests and benchmarks; on a cluster use the one it gives you."""
@@ -47,6 +49,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to fill them by its own splits.
+
+    Above one split's worth of bytes per core the frame is returned as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < SPLIT_BYTES * cores else df
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows, reading no more than needed."""
     return df.limit(max_rows + 1).count() <= max_rows
