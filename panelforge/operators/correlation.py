@@ -16,13 +16,14 @@ from .ranks import order_statistics
 
 
 def _clamped(c: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    """Within -1..1; NULL stays NULL, which least and greatest alone would lose."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
 
 
 def _ratio(moments: DataFrame) -> DataFrame:
     scale = F.sqrt(F.col("cii")) * F.sqrt(F.col("cjj"))
     value = F.when((F.col("cii") > 0) & (F.col("cjj") > 0), F.try_divide(F.col("cij"), scale))
-    clamped = F.when(value.isNotNull(), F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(_clamped(value)))
+    clamped = F.when((F.col("i") == F.col("j")) & value.isNotNull(), F.lit(1.0)).otherwise(_clamped(value))
     return moments.select("i", "j", clamped.alias("value"))
 
 
@@ -37,10 +38,6 @@ def spearman(df: DataFrame, cols: Sequence[str], key: str, rows_per_bucket: int
     return named(_ratio(pair_moments(stats, [f"r{i}" for i in range(len(cols))])), cols)
 
 
-def _diagonal(spark, p: int, ok: DataFrame) -> DataFrame:
-    return ok.select(F.col("c").alias("i"), F.col("c").alias("j"), F.lit(1.0).alias("value"))
-
-
 def kendall(df: DataFrame, cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Tau-b over the rows complete in ``cols``; NULL where a column is constant."""
     sums, ties, n = pair_sums(df, cols, rows_per_bucket)
