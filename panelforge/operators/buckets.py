@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import col, complete_rows
 
 ROWS_PER_BUCKET = 250_000
+MAX_BUCKETS = 20_000  # keeps limits, offsets and sketches small; beyond, buckets hold more rows
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,7 @@ def value_buckets(
     names = [f"v{i}" for i in range(len(cols))]
     slim = complete_rows(slim)
     n = slim.count()
-    wanted = math.ceil(n / rows_per_bucket)
+    wanted = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if wanted <= 1:
         splits = tuple((-math.inf, math.inf) for _ in cols)
         single: tuple[frozenset[int], ...] = tuple(frozenset() for _ in cols)

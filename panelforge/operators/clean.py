@@ -79,7 +79,7 @@ def category_codes(df: DataFrame, name: str, small: int = SINGLE_TASK_CATEGORIES
 
 def _codes(df: DataFrame, name: str, small: int) -> tuple[DataFrame, bool]:
     """The dimension table and whether it was found to be small."""
-    distinct = df.where(col(name).isNotNull()).select(col(name).alias("category")).distinct()
+    distinct = cut_lineage(df.where(col(name).isNotNull()).select(col(name).alias("category")).distinct())
     if is_small(distinct, small):
         order = Window.partitionBy(F.lit(0)).orderBy("category")
         return distinct.select("category", (F.row_number().over(order) - 1).cast("long").alias("code")), True

@@ -16,11 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 CHUNK_ROWS = 20_000
 SMALL_GROUP = 512
 BLOCK_CELLS = 4_000_000
 BROADCAST_GROUPS = 200_000
 
+Rows = dict[str, np.ndarray]
+
 
 def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances by differences, exact 0 for equal points."""
@@ -36,24 +40,31 @@ def block_step(n_cols: int) -> int:
     return max(1, BLOCK_CELLS // max(n_cols, 1))
 
 
-def _packed(task: Callable, columns: list[str]):
+def _sorted_arrays(pdf: pd.DataFrame) -> Rows:
+    """Columns as arrays in (g, id) order; coordinates x0, x1, ... as one matrix ``x``."""
+    order = np.lexsort((pdf["id"].to_numpy(), pdf["g"].to_numpy()))
+    xs = sorted((c for c in pdf.columns if c[0] == "x" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    rows = {c: pdf[c].to_numpy()[order] for c in pdf.columns if c not in xs}
+    rows["x"] = pdf[xs].to_numpy(dtype=float)[order]
+    return rows
+
+
+def _packed(task: Callable[[Rows, Rows], Rows | None], columns: list[str]):
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in columns})
-        if not len(queries) or not len(candidates):
-            return empty
-        queries = queries.sort_values(["g", "id"], kind="stable")
-        candidates = candidates.sort_values(["g", "id"], kind="stable")
-        qg, cg = queries["g"].to_numpy(), candidates["g"].to_numpy()
-        groups, starts = np.unique(qg, return_index=True)
-        ends = np.r_[starts[1:], len(qg)]
-        left, right = np.searchsorted(cg, groups, "left"), np.searchsorted(cg, groups, "right")
-        parts = []
-        for s, e, lo, hi in zip(starts, ends, left, right):
-            if hi > lo:
-                found = task(queries.iloc[s:e], candidates.iloc[lo:hi])
-                if found is not None and len(found):
-                    parts.append(found)
-        return pd.concat(parts, ignore_index=True)[columns] if parts else empty
+        parts: list[Rows] = []
+        if len(queries) and len(candidates):
+            q, c = _sorted_arrays(queries), _sorted_arrays(candidates)
+            groups, starts = np.unique(q["g"], return_index=True)
+            ends = np.r_[starts[1:], len(q["g"])]
+            left, right = np.searchsorted(c["g"], groups, "left"), np.searchsorted(c["g"], groups, "right")
+            for s, e, lo, hi in zip(starts, ends, left, right):
+                if hi > lo:
+                    found = task({k: v[s:e] for k, v in q.items()}, {k: v[lo:hi] for k, v in c.items()})
+                    if len(found[columns[0]]):
+                        parts.append(found)
+        if not parts:
+            return pd.DataFrame({k: [] for k in columns})
+        return pd.DataFrame({k: np.concatenate([p[k] for p in parts]) for k in columns})
 
     return run
 
@@ -61,18 +72,19 @@ def _packed(task: Callable, columns: list[str]):
 def compare(
     queries: DataFrame,
     candidates: DataFrame,
-    task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame | None],
+    task: Callable[[Rows, Rows], Rows],
     schema: str,
     rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Run ``task`` on every (query chunk, candidate chunk) of every group.
 
-    Both frames have ``g`` (long) and ``id`` (long). Output per query may come from several
+    A task gets and returns columns as arrays (coordinates as the matrix ``x``), so that
+    thousands of small groups cost little each. Both frames have ``g`` (long) and ``id`` (long). Output per query may come from several
     chunks; the caller merges it.
     """
     nq = queries.groupBy("g").agg(F.count(F.lit(1)).alias("nq"))
     nc = candidates.groupBy("g").agg(F.count(F.lit(1)).alias("nc"))
-    sizes = nq.join(nc, "g")
+    sizes = cut_lineage(nq.join(nc, "g"))
     total = sizes.agg(F.coalesce(F.sum(F.col("nq") + F.col("nc")), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     packs = max(1, -(-int(total["t"]) // rows))
     small = (F.col("nq") <= SMALL_GROUP) & (F.col("nc") <= SMALL_GROUP)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import col
+from ..session import broadcast_if_small
 from .buckets import ROWS_PER_BUCKET, value_buckets
 
 
@@ -32,7 +33,7 @@ def order_statistics(
     totals = long.groupBy("c", "b").agg(F.count(F.lit(1)).alias("bn"), F.sum("v").alias("bs"))
     column = Window.partitionBy("c")
     before = column.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    # columns x buckets rows: its size follows rows / rows_per_bucket, a few MB at most
+    # columns x buckets rows
     offsets = totals.select(
         "c",
         "b",
@@ -43,7 +44,7 @@ def order_statistics(
         F.sum("bn").over(column).alias("nn"),
         F.sum("bs").over(column).alias("ss"),
     )
-    placed = long.join(F.broadcast(offsets), ["c", "b"])
+    placed = long.join(broadcast_if_small(offsets, 1_000_000), ["c", "b"])
     single = buckets.is_single(F.col("c"), F.col("b"))
     inside = Window.partitionBy("c", "b").orderBy("v")
     upto = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -66,5 +66,9 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting; else leave the join to AQE."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    """Store a derived side once, count it, and hint a broadcast only within the bound.
+
+    Beyond the bound the join is left to a shuffle, where AQE splits skewed keys.
+    """
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if is_small(stored, max_rows) else stored
