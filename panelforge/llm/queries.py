@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_exact
+from . import q_bpe, q_exact, q_mixing, q_tokens, q_urls
 
-MODULES = [q_exact]
+MODULES = [q_mixing, q_exact, q_tokens, q_bpe, q_urls]
 
 
 def queries() -> dict:
