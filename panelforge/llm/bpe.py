@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .vocabulary import WORD_BPE, byte_alphabet, default_path, has_new, old_classes, vocabulary_json
+from .vocabulary import WORD_BPE, byte_alphabet, default_path, has_new, library_classes, vocabulary_json
 
 CACHE_WORDS = 200_000
 BATCH_BYTES = 4_000_000
@@ -89,7 +89,7 @@ class WordBpe:
     def pieces(self, text: str) -> list[str]:
         text = self.normalised(text)
         if has_new(text):
-            return [text[m.start() : m.end()] for m in self.words.finditer(old_classes(text))]
+            return [text[m.start() : m.end()] for m in self.words.finditer(library_classes(text))]
         return self.words.findall(text)
 
     def encode(self, text: str) -> tuple[int, bytes, str]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .vocabulary import BYTE_BPE, default_path, has_new, old_classes, vocabulary_json
+from .vocabulary import BYTE_BPE, default_path, has_new, library_classes, vocabulary_json
 
 FREQUENT = 16_384
 CACHE_ENTRIES = 400_000
@@ -33,7 +33,7 @@ _pieces = regex.compile(public_tokenizers.PATTERN)
 def pre_tokens(text: str) -> list[str]:
     """The pieces that a byte-level vocabulary encodes one by one."""
     if has_new(text):
-        return [text[m.start() : m.end()] for m in _pieces.finditer(old_classes(text))]
+        return [text[m.start() : m.end()] for m in _pieces.finditer(library_classes(text))]
     return _pieces.findall(text)
 
 

@@ -6,19 +6,18 @@ The path is a parameter of every operator; files are never copied into the repos
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import public_tokenizers
 import regex
+from tokenizers import pre_tokenizers
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
-#: First code point whose letter or digit class differs between Unicode versions of the installed libraries.
-FIRST_NEW = "԰"
+#: From here on, code points may have other classes in the regex module than in the tokenizers library.
+FIRST_NEW = "\u0530"
 _maybe_new = regex.compile(f"[{FIRST_NEW}-\U0010ffff]")
-_classed = regex.compile(r"[\p{L}\p{N}]")
-#: A code point that no Unicode version assigns; stands for a newer letter when classes are matched.
-UNASSIGNED = "￿"
 
 
 def vocabulary_json(path: str) -> str:
@@ -37,14 +36,23 @@ def has_new(text: str) -> bool:
     return any(unicodedata.category(c) == "Cn" for c in set(_maybe_new.findall(text)))
 
 
-def old_classes(text: str) -> str:
-    """A text of the same length in which newly assigned letters and digits are unassigned.
+@cache
+def _stand_in(char: str) -> str:
+    """A long-assigned character of the class that the tokenizers library gives ``char``."""
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for like in "\u00aa\u00b2":  # a letter, a digit
+        if len(split(like + char)) == 1:
+            return like
+    return "\u00b6"
 
-    The tokenizers library matches letters and digits by an older Unicode version than the
-    regex module does.
+
+def library_classes(text: str) -> str:
+    """A text of the same length whose newer code points are replaced by ones of the same class.
+
+    The libraries know different Unicode versions, so the class is asked from the tokenizers library.
     """
-    new = [c for c in set(_maybe_new.findall(text)) if unicodedata.category(c) == "Cn" and _classed.match(c)]
-    return text.translate({ord(c): UNASSIGNED for c in new})
+    new = [c for c in set(_maybe_new.findall(text)) if unicodedata.category(c) == "Cn"]
+    return text.translate({ord(c): _stand_in(c) for c in new})
 
 
 def byte_alphabet() -> list[str]:
