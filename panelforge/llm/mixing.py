@@ -72,12 +72,13 @@ def mix_sources(
     most_epochs: int = MOST_EPOCHS,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(id, size, source_size, target, taken): one row per document.
+    """(id, size, source_size, target, taken, copies): one row per document.
 
     ``quality`` has (id, weight), one row per id: the quality weight of a document (positive;
     absent, NULL, zero and less count as 1).
     ``taken`` counts words, repeats included: whole epochs, plus the document once more when
-    the middle of its words falls within what is left of the target. A NULL text has size 0
+    the middle of its words falls within what is left of the target; ``copies`` is how often
+    the document itself is taken. A NULL text has size 0
     and takes nothing; a NULL source is a source of its own, the last one. Equal keys go by id,
     then by size; repeated rows are documents of their own. An empty table gives no rows.
     """
@@ -107,7 +108,24 @@ def mix_sources(
     offsets = side(store(totals.select("sid", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))))
     left = F.col("target") - F.col("epochs") * F.col("source_size")
     middle = F.col("offset") + F.col("upto") - F.col("size") / 2
-    again = F.when(middle <= left, F.col("size")).otherwise(F.lit(0))
+    copies = (F.col("epochs") + (middle <= left).cast("int")).cast("long")
     return running.join(offsets, ["sid", "bucket"]).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + again).cast("long").alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows that the mix takes, with all their columns, each as often as it is taken.
+
+    Rows that share an id also share what is taken of them, as evenly as it goes.
+    """
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    taken = mix_sources(docs, id_col, text_col, source_col, **options).groupBy(name.alias("_key")).agg(
+        F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows")
+    )
+    # the window needs the same distribution as the join
+    same_id = Window.partitionBy("_key").orderBy(*[F.col(c) for c in docs.columns])
+    joined = docs.withColumn("_key", name).join(taken.where("_total > 0"), "_key").withColumn("_row", F.row_number().over(same_id))
+    share = F.floor(F.col("_total") / F.col("_rows")) + (F.col("_row") <= F.col("_total") % F.col("_rows")).cast("long")
+    every = joined.withColumn("_copies", share.cast("int")).where("_copies > 0")
+    return every.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -44,8 +44,8 @@ keyed AS (
   FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source
 ), run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
 SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target,
-       (epochs * size + CASE WHEN upto - size / 2 <= target - epochs * s THEN size ELSE 0 END)::BIGINT AS taken
-FROM run
+       (copies * size)::BIGINT AS taken, copies
+FROM (SELECT *, (epochs + CASE WHEN upto - size / 2 <= target - epochs * s THEN 1 ELSE 0 END)::BIGINT AS copies FROM run)
 """
 
 QUERIES = {"op2_mix_sources": op2_mix_sources}

@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from ..session import store
+from .common import side
 
 BITS = 64
 SEGMENTS = 4
@@ -55,16 +56,19 @@ def text_fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp long): one row per document; NULL counts as an empty text, whose fingerprint is 0."""
+    """(id, copy, fp): one row per document; NULL counts as an empty text, whose fingerprint is 0.
+
+    ``copy`` is a hash of the text as it is, to tell rows of the same id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             fps = [text_fingerprint(texts[i].as_py() or "", words) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["id", "copy", "fp"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("copy", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def _bits(fp: Column, start: int, width: int) -> Column:
@@ -139,7 +143,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE
 ) -> DataFrame:
-    """(id, fp, component_id): one row per input row.
+    """(id, copy, fp, component_id): one row per input row.
 
     ``component_id`` is the smallest id reachable over fingerprints that differ in at most
     ``distance`` bits. A NULL or wordless text has fingerprint 0 and is linked like any other;
@@ -155,7 +159,26 @@ def near_groups(
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = members.select("fp", "component").join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
     # a fingerprint that many copies share is split by adaptive execution
-    return marked.join(named, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), "fp", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), "copy", "fp", "component_id")
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE
+) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Of rows with that id the one with the smallest text hash stays, with its repetitions. Rows
+    whose group has no id all stay.
+    """
+    groups = store(near_groups(docs, id_col, text_col, words, distance))
+    stays = groups.where(F.col(id_col) == F.col("component_id")).groupBy("component_id").agg(F.min("copy").alias("stay"))
+    lost = (
+        groups.join(stays, "component_id")
+        .where(~(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("copy") == F.col("stay"))))
+        .select(F.col(id_col).alias("_id"), F.col("copy").alias("_copy"))
+    )
+    lost = side(store(lost.distinct()))
+    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_copy")), "left_anti")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -204,6 +204,14 @@ def fit_chain(
     return fit_chain_arrays(r_at[order], c_at[order], y, weight, categories, chosen)[0]
 
 
+def _batch_probabilities(model: Chain, where: dict[str, int], texts: pa.Array) -> np.ndarray:
+    n = len(texts)
+    hits = [[where[f] for f in text_features(texts[i].as_py() or "") if f in where] for i in range(n)]
+    rows = np.repeat(np.arange(n), [len(h) for h in hits])
+    cols = np.array([c for h in hits for c in h], dtype=np.int64)
+    return model.probabilities(rows, cols, n)
+
+
 def score_chain(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, p_<category>..., rejected): one row per row of ``docs``.
 
@@ -219,12 +227,23 @@ def score_chain(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
         model = shared.value
         where = {f: i for i, f in enumerate(model.features)}
         for batch in batches:
-            texts, n = batch.column(1), batch.num_rows
-            hits = [[where[f] for f in text_features(texts[i].as_py() or "") if f in where] for i in range(n)]
-            rows = np.repeat(np.arange(n), [len(h) for h in hits])
-            cols = np.array([c for h in hits for c in h], dtype=np.int64)
-            p = model.probabilities(rows, cols, n)
+            p = _batch_probabilities(model, where, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, j]) for j in range(len(names))]], [id_col, *names])
 
     scored = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
     return scored.withColumn("rejected", F.col(names[-1]) >= threshold)
+
+
+def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are not rejected, with all their columns; decided batch by batch, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        where = {f: i for i, f in enumerate(model.features)}
+        for batch in batches:
+            last = _batch_probabilities(model, where, batch.column(at))[:, -1]
+            yield batch.filter(pa.array(last < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
