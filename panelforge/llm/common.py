@@ -34,6 +34,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that working columns beside it clash with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def side(stored: DataFrame, size: Column | None = None) -> DataFrame:
     """Hint a broadcast of a stored frame only if its rows and bytes are within the bound.
 
@@ -47,6 +52,24 @@ def side(stored: DataFrame, size: Column | None = None) -> DataFrame:
     return F.broadcast(stored) if bytes_ <= BROADCAST_BYTES else stored
 
 
+def most_frequent(counted: DataFrame, count: str, most: int, tie: str) -> DataFrame:
+    """At most ``most`` rows with the largest counts: as many whole bands of counts as fit.
+
+    Bands are quarters of an octave, so all of the table is read, but only the chosen rows are
+    gathered. Only if the first band alone is too large its rows are ordered.
+    """
+    band = F.floor(F.log2(F.col(count)) * 4)
+    sizes = counted.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("band")).collect()
+    total, lowest = 0, None
+    for r in sizes:  # at most 256 bands
+        if total + r["n"] > most:
+            break
+        total, lowest = total + r["n"], r["band"]
+    if lowest is not None:
+        return counted.where(band >= lowest)
+    return counted.orderBy(F.desc(count), tie).limit(most)
+
+
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Add the global position (from 0) in ``order`` without sorting in one task.
 

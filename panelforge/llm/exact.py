@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import store
-from .common import side, squeezed
+from .common import packed, side, squeezed
 
 PREFIX = 64
 HOT_ROWS = 1_000
@@ -89,9 +89,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows that stay, with all their columns."""
     # rows that share an id and a text are interchangeable, so (id, text hash) finds what stays
     key = lambda i, sha: F.concat_ws("|", F.col(i).cast("string"), sha)
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(key(id_col, F.col("text_sha256")).alias("_key"))
-    marked = docs.withColumn("_key", key(id_col, F.sha2(squeezed(F.col(text_col)), 256)))
-    joined = marked.join(kept, "_key", "left_semi")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(key(id_col, F.col("text_sha256")).alias("key"))
     points = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    one = Window.partitionBy("_key").orderBy(points.desc(), *[F.col(c) for c in docs.columns])
-    return joined.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*docs.columns)
+    rows = docs.select(packed(docs).alias("row"), key(id_col, F.sha2(squeezed(F.col(text_col)), 256)).alias("key"), points.alias("points"))
+    one = Window.partitionBy("key").orderBy(F.col("points").desc(), "row")
+    return rows.join(kept, "key", "left_semi").withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
+from .common import most_frequent
 
 WORDS = 1_024
 ENDINGS = 256
@@ -118,7 +119,7 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, words: int = WORDS, frequent: int = FREQUENT) -> Vocabulary:
     """The bounded part of the counts that every task gets: ``frequent`` tokens and the class totals."""
-    top = counts.orderBy(F.desc("c"), "token").limit(frequent).toPandas()
+    top = most_frequent(counts, "c", frequent, "token").toPandas()  # at most ``frequent`` rows
     top = top.sort_values(["c", "token"], ascending=[False, True], kind="stable")
     tokens = [bytes(t) for t in top["token"]]
     known = dict(zip(tokens, top["c"].tolist()))

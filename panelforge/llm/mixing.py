@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import store
-from .common import numbered, side, word_count
+from .common import numbered, packed, side, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -120,12 +120,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id also share what is taken of them, as evenly as it goes.
     """
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    taken = mix_sources(docs, id_col, text_col, source_col, **options).groupBy(name.alias("_key")).agg(
-        F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows")
+    taken = mix_sources(docs, id_col, text_col, source_col, **options).groupBy(name.alias("key")).agg(
+        F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")
     )
     # the window needs the same distribution as the join
-    same_id = Window.partitionBy("_key").orderBy(*[F.col(c) for c in docs.columns])
-    joined = docs.withColumn("_key", name).join(taken.where("_total > 0"), "_key").withColumn("_row", F.row_number().over(same_id))
-    share = F.floor(F.col("_total") / F.col("_rows")) + (F.col("_row") <= F.col("_total") % F.col("_rows")).cast("long")
-    every = joined.withColumn("_copies", share.cast("int")).where("_copies > 0")
-    return every.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    same_id = Window.partitionBy("key").orderBy("row")
+    rows = docs.select(packed(docs).alias("row"), name.alias("key"))
+    joined = rows.join(taken.where("total > 0"), "key").withColumn("place", F.row_number().over(same_id))
+    share = F.floor(F.col("total") / F.col("rows")) + (F.col("place") <= F.col("total") % F.col("rows")).cast("long")
+    every = joined.select("row", share.cast("int").alias("copies")).where("copies > 0")
+    return every.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from ..session import store
-from .common import side
+from .common import packed, side
 
 BITS = 64
 SEGMENTS = 4
@@ -175,10 +175,12 @@ def drop_near_copies(
     lost = (
         groups.join(stays, "component_id")
         .where(~(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("copy") == F.col("stay"))))
-        .select(F.col(id_col).alias("_id"), F.col("copy").alias("_copy"))
+        .select(F.col(id_col).alias("lost_id"), F.col("copy").alias("lost_copy"))
     )
     lost = side(store(lost.distinct()))
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_copy")), "left_anti")
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"))
+    found = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("copy") == F.col("lost_copy"))
+    return rows.join(lost, found, "left_anti").select("row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from ..session import store
+from .common import most_frequent
 from .vocabulary import BYTE_BPE, default_path, has_new, library_classes, vocabulary_json
 
 FREQUENT = 16_384
@@ -59,7 +61,8 @@ def frequent_pre_tokens(texts: DataFrame, frequent: int = FREQUENT) -> DataFrame
         top = seen.most_common(frequent)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    return texts.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(frequent)
+    summed = texts.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return most_frequent(store(summed), "n", frequent, "piece")
 
 
 class TokenCounter:

@@ -149,7 +149,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
         picked = drawn if picked is None else picked.unionAll(drawn)
     picked = F.broadcast(store(picked))  # at most 2 * per_class rows of numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, F.col("id") == F.col("_id")).drop("_id")
-    copy = Window.partitionBy(F.xxhash64("text")).orderBy("id")
+    copy = Window.partitionBy(F.xxhash64("text")).orderBy("id", *categories)
     rows = rows.withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").drop("_copy")
     share = F.when(F.col(last) == 1.0, min(1.0, per_class / max(sizes.get(1.0, 1), 1))).otherwise(min(1.0, per_class / max(sizes.get(0.0, 1), 1)))
     return rows.withColumn("share", share)
@@ -171,7 +171,8 @@ def fit_chain(
     category are left out, other NULL labels count as 0. Without labelled rows the chain has no
     features and rejects nothing.
     """
-    sample = store(labelled_sample(docs, labels, categories, per_class, id_col, text_col))
+    sample = labelled_sample(docs, labels, categories, per_class, id_col, text_col)
+    sample = store(sample.withColumn("id", F.monotonically_increasing_id()))
     numbers = [F.col(c) for c in categories]
     rows = sample.select("id", "share", *numbers).orderBy("id").collect()  # at most 2 * per_class
     if not rows:
@@ -207,7 +208,7 @@ def fit_chain(
 def _batch_probabilities(model: Chain, where: dict[str, int], texts: pa.Array) -> np.ndarray:
     n = len(texts)
     hits = [[where[f] for f in text_features(texts[i].as_py() or "") if f in where] for i in range(n)]
-    rows = np.repeat(np.arange(n), [len(h) for h in hits])
+    rows = np.repeat(np.arange(n), np.array([len(h) for h in hits], dtype=np.int64))
     cols = np.array([c for h in hits for c in h], dtype=np.int64)
     return model.probabilities(rows, cols, n)
 
