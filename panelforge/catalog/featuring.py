@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..config import METRICS, YEARS
@@ -79,7 +81,7 @@ ORACLES["f10_feature_build"] = FEATURES + _select_sql(MEANS + GROWTHS + VOLS + R
 def _grouped(pick):
     def run(s, d):
         df = feature_frame(s, d)
-        return _select(df, pick(groups.group_features(df.columns), df.columns))
+        return _select(df, pick(groups.column_sets(df.columns), df.columns))
 
     return run
 
@@ -88,15 +90,15 @@ def _grouped(pick):
 
 
 def _columns_sql(pattern: str) -> str:
-    names = [n for n in MEANS + GROWTHS + VOLS + RATIOS if __import__("re").search(pattern, n)]
+    names = [n for n in MEANS + GROWTHS + VOLS + RATIOS if re.search(pattern, n)]
     return FEATURES + f", picked AS (SELECT row_id, COLUMNS('{pattern}') FROM features) " + _select_sql(names, "picked")
 
 
-QUERIES["f11_continuous_columns"] = _grouped(lambda g, _: g.continuous)
+QUERIES["f11_continuous_columns"] = _grouped(lambda g, _: g["continuous"])
 ORACLES["f11_continuous_columns"] = _columns_sql("^(growth_)?(TAsset|Leverage|EBIT|Turnover|ROE|PLTax)_mean$|^volatility_[^M]|^fur_")
 QUERIES["f12_select_feature_years"] = lambda s, d: rounded(
     groups.project(
-        company_panel(s, d), ("row_id", *groups.select_features(company_panel(s, d).columns, "EBIT", "all", True))
+        company_panel(s, d), ("row_id", *groups.metric_columns(company_panel(s, d).columns, "EBIT"))
     ).toDF("row_id", *[f"EBIT_{y}" for y in YEARS]),
     [f"EBIT_{y}" for y in YEARS],
     2,
@@ -104,9 +106,9 @@ QUERIES["f12_select_feature_years"] = lambda s, d: rounded(
 ORACLES["f12_select_feature_years"] = (
     PANEL + f""" SELECT row_id, {', '.join(f'round("EBIT.{y}", 2) + 0.0 AS EBIT_{y}' for y in YEARS)} FROM panel"""
 )
-QUERIES["f13_group_growth"] = _grouped(lambda g, _: g.groups["grow"])
+QUERIES["f13_group_growth"] = _grouped(lambda g, _: g["grow"])
 ORACLES["f13_group_growth"] = _columns_sql("^growth_[^M]")
-QUERIES["f14_without_volatility"] = _grouped(lambda g, _: groups.without(g.continuous, g.groups["vol"]))
+QUERIES["f14_without_volatility"] = _grouped(lambda g, _: groups.without(g["continuous"], g["vol"]))
 ORACLES["f14_without_volatility"] = _columns_sql("^(growth_)?(TAsset|Leverage|EBIT|Turnover|ROE|PLTax)_mean$|^fur_")
 
 QUERIES["f0_panel_long_form"] = lambda s, d: rounded(

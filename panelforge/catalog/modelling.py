@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..config import ModelConfig
+from ..config import Density, ModelSettings
 from ..operators import cluster, dbscan, density, evaluate, features
 from ..operators import reduce as components
 from ..session import cut_lineage
@@ -64,9 +64,9 @@ ORACLES["m4_explained_variance_lineitem"] = f"""WITH {PCA2.format(a='l_quantity'
 
 
 def _pca_panel(s, d):
-    config = ModelConfig()
+    settings = ModelSettings()
     frame = feature_frame(s, d)
-    fitted = components.fit_components(frame, config.training_features, config.n_components)
+    fitted = components.fit_components(frame, settings.features, settings.components)
     return rounded(fitted.scores(frame, ["row_id"]), ["PC1", "PC2", "PC3"], 3)
 
 
@@ -146,9 +146,9 @@ ORACLES["m10_davies_bouldin_embeddings"] = f"""WITH {points_sql()},
 def _compared(s, d):
     from ..plans.model import compare_methods
 
-    config = ModelConfig(eps=0.08)
+    settings = ModelSettings(density=Density(radius=0.08))
     pts = cut_lineage(points(s, d).select("vec_id", *XS))
-    return compare_methods(pts, XS, "vec_id", config)[1]
+    return compare_methods(pts, XS, "vec_id", settings)[1]
 
 
 QUERIES["m11_method_comparison_embeddings"] = _compared

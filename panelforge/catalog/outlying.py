@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..config import CONTINUOUS, StatisticConfig
+from ..config import CONTINUOUS, StudySettings
 from ..functions.scalars import col
 from ..operators import outliers
 from .common import feature_frame, points, points_sql, r, table
@@ -107,7 +107,7 @@ ORACLES["o5_density_noise_embeddings"] = f"""WITH {points_sql(2)}, {NEAR.format(
 
 # --- chain ---------------------------------------------------------------------
 def _chain(s, d):
-    kept = outliers.outlier_chain(feature_frame(s, d), CONTINUOUS, "row_id", StatisticConfig())
+    kept = outliers.outlier_chain(feature_frame(s, d), CONTINUOUS, "row_id", StudySettings())
     return kept.select("row_id", r(col("TAsset_mean"), 3).alias("assets"), r(col("fur_roa")).alias("roa"))
 
 

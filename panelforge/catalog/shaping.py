@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import CONTINUOUS, StatisticConfig
+from ..config import CONTINUOUS, StudySettings
 from ..functions import shape as fx
 from ..functions.scalars import col
 from ..operators import power, shape
@@ -179,7 +179,7 @@ ORACLES["d8_above_threshold_panel"] = (
 )
 
 CHOSEN = {"l_quantity": "sqrt", "l_extendedprice": "inv", "l_discount": "sqrt", "l_tax": "unknown"}
-QUERIES["d9_apply_transforms_lineitem"] = lambda s, d: shape.apply_transforms(
+QUERIES["d9_apply_transforms_lineitem"] = lambda s, d: shape.reshape_columns(
     table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *MOMENT_COLS), CHOSEN
 ).select("l_orderkey", "l_linenumber", *[r(c, 8).alias(c) for c in MOMENT_COLS])
 ORACLES["d9_apply_transforms_lineitem"] = f"""SELECT l_orderkey, l_linenumber,
@@ -191,7 +191,7 @@ ORACLES["d9_apply_transforms_lineitem"] = f"""SELECT l_orderkey, l_linenumber,
 
 def _audit(s, d):
     before = table(s, d, "lineitem").select(*MOMENT_COLS)
-    return shape.shape_audit(before, shape.apply_transforms(before, CHOSEN), MOMENT_COLS)
+    return shape.shape_audit(before, shape.reshape_columns(before, CHOSEN), MOMENT_COLS)
 
 
 def _audit_sql() -> str:
@@ -214,10 +214,10 @@ def _rounds(s, d):
 
     from ..session import cut_lineage
 
-    config, df, maps = StatisticConfig(), shape_input(s, d), []
-    for i in range(1, config.rounds + 1):
+    shapes, df, maps = StudySettings().shapes, shape_input(s, d), []
+    for i in range(1, shapes.rounds + 1):
         report = shape.shape_report(df, CONTINUOUS, power.fit_power(df, CONTINUOUS))
-        df, chosen = shape.choose_and_apply(df, shape.transform_table(report), config.shape_threshold)
+        df, chosen = shape.choose_and_apply(df, shape.transform_table(report), shapes.least)
         df = cut_lineage(df)
         maps.append(cut_lineage(chosen).select(F.lit(i).alias("round"), "*"))
     return reduce(lambda a, b: a.unionAll(b), maps)

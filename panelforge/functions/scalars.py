@@ -23,6 +23,11 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
 
 
+def number(c: Column) -> Column:
+    """The value as double, NaN as NULL: what every statistic reads."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -56,12 +61,12 @@ def _total(parts: Sequence[Column]) -> Column:
 
 
 def row_count(cols: Sequence[Column]) -> Column:
-    return _total([c.isNotNull().cast("int") for c in cols])
+    return _total([number(c).isNotNull().cast("int") for c in cols])
 
 
 def row_mean(cols: Sequence[Column]) -> Column:
     """Mean over the present values of a row."""
-    total = _total([F.coalesce(c.cast("double"), F.lit(0.0)) for c in cols])
+    total = _total([F.coalesce(number(c), F.lit(0.0)) for c in cols])
     return F.try_divide(total, row_count(cols))
 
 
@@ -71,16 +76,16 @@ def row_std(cols: Sequence[Column], mean: Column) -> Column:
     ``mean`` should be a column already projected: repeating its expression per
     value makes generated code outgrow what the JVM compiles.
     """
-    deviations = _total([F.coalesce(F.pow(c.cast("double") - mean, F.lit(2.0)), F.lit(0.0)) for c in cols])
+    deviations = _total([F.coalesce(F.pow(number(c) - mean, F.lit(2.0)), F.lit(0.0)) for c in cols])
     n = row_count(cols)
     return F.when(n >= 2, F.sqrt(deviations / F.nullif(n - 1, F.lit(0))))
 
 
 def growth(current: Column, previous: Column) -> Column:
     """(current - previous) / previous; NULL where previous is 0 or missing."""
-    current, previous = current.cast("double"), previous.cast("double")
+    current, previous = number(current), number(previous)
     return F.try_divide(current - previous, previous)
 
 
 def guarded_ratio(numerator: Column, denominator: Column) -> Column:
-    return F.try_divide(numerator, denominator + F.lit(RATIO_EPS))
+    return F.try_divide(number(numerator), number(denominator) + F.lit(RATIO_EPS))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import COUNTRY_CODES, RATING_CODES, YEARS
-from ..functions.scalars import col, normalize_missing
+from ..functions.scalars import col, normalize_missing, number
 from ..session import cut_lineage, is_small
 
 SINGLE_TASK_CATEGORIES = 1_000_000
@@ -114,7 +114,7 @@ def scale_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float |
     """(mean, population standard deviation) per column; a constant column scales by 1."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(col(c)).alias(f"m{i}"), F.stddev_pop(col(c)).alias(f"s{i}")]
+        aggs += [F.avg(number(col(c))).alias(f"m{i}"), F.stddev_pop(number(col(c))).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     return {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(cols)}
 
@@ -126,7 +126,7 @@ def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         mean, std = moments[c]
         if mean is None:
             return col(c)
-        return ((col(c) - F.lit(mean)) / F.lit(std)).alias(c)
+        return ((number(col(c)) - F.lit(mean)) / F.lit(std)).alias(c)
 
     return df.select(*[scaled(c) if c in moments else col(c) for c in df.columns])
 

@@ -30,19 +30,17 @@ def _path_length(n: float) -> float:
 def tree_samples(df: DataFrame, key: str, cols: Sequence[str], n: int, trees: int, rows: int, seed: int) -> DataFrame:
     """(tree, x0..): ``rows`` rows per tree in hash order, so re-partitioning changes nothing.
 
-    Few rows: every tree draws from all of them. Many rows: a hash picks a pool about four
-    times what all trees need and deals it out, so rows are not multiplied by trees.
+    A hash of row and tree gives a row to a tree with the chance that leaves about four times
+    the wanted rows; of those the lowest hashes stay. One rule at every size: rows are only
+    multiplied by the trees that may keep them.
     """
     values = [col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
     slim = complete_rows(df.select(col(key).cast("string").alias("_key"), *values))
-    need = trees * rows * 4
-    unit = F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 40))
-    if n <= need:
-        dealt = slim.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
-    else:
-        pool = slim.where(unit < F.lit(int((1 << 40) * need / n)))
-        dealt = pool.withColumn("tree", F.pmod(F.xxhash64("_key", F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("_key", "tree", F.lit(seed + 2)), "_key")
+    limit = int((1 << 40) * min(1.0, 4.0 * rows / max(n, 1)))
+    place = lambda t: F.pmod(F.xxhash64("_key", t, F.lit(seed)), F.lit(1 << 40))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < F.lit(limit))
+    dealt = slim.withColumn("tree", F.explode(chosen))
+    order = Window.partitionBy("tree").orderBy(place(F.col("tree")), "_key")
     return dealt.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= rows)
 
 

@@ -1,56 +1,69 @@
-"""Column selection by name: only the schema is looked at."""
+"""Sets of columns by name; only the schema is looked at.
+
+A set is declared as a row of ``SETS``: its name, the kinds of columns it draws from and the
+beginning or part of a name it asks for. One pass over the column names fills them all.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from ..config import CONTINUOUS, NOMINAL, ORDINAL, RAW_MEANS
 from ..functions.scalars import col
 
+#: Kind of a column -> what its name holds.
+KINDS = {"continuous": CONTINUOUS, "nominal": NOMINAL, "ordinal": ORDINAL}
+
+#: (set, kind, text in the name)
+SETS = (
+    ("grow", "continuous", "growth_"),
+    ("vol", "continuous", "volatility"),
+    ("fur", "continuous", "fur_"),
+    ("score", "ordinal", "MScore"),
+)
+
+#: The set of all studied features, in this order; ``raw_mean`` is a fixed list.
+STUDIED = ("grow", "raw_mean", "vol", "fur", "score")
+
 
 @dataclass(frozen=True)
-class FeatureGroups:
-    continuous: tuple[str, ...]
-    nominal: tuple[str, ...]
-    ordinal: tuple[str, ...]
-    groups: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-
-def matching(columns: Sequence[str], patterns: Sequence[str]) -> tuple[str, ...]:
-    pattern = re.compile("|".join(patterns))
-    return tuple(c for c in columns if pattern.search(c))
-
-
-def classify_columns(columns: Sequence[str]) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
-    """(continuous, nominal, ordinal) by pattern."""
-    return matching(columns, CONTINUOUS), matching(columns, NOMINAL), matching(columns, ORDINAL)
-
-
-def select_features(columns: Sequence[str], name: str, dates: str = "all", period: bool = False) -> tuple[str, ...]:
-    """Columns of one feature: ``name.`` as a whole word with ``period``, else as a pattern."""
-    pattern = rf"\b{re.escape(name)}\." if period else name
-    found = matching(columns, [pattern])
-    return found if dates == "all" else tuple(c for c in found if dates in c)
-
-
-def group_features(columns: Sequence[str]) -> FeatureGroups:
-    continuous, nominal, ordinal = classify_columns(columns)
-    grow = select_features(continuous, "growth_")
-    vol = select_features(continuous, "volatility")
-    fur = select_features(continuous, "fur_")
-    score = select_features(ordinal, "MScore")
-    groups = {
-        "all": (*grow, *RAW_MEANS, *vol, *fur, *score),
-        "fur": fur,
-        "grow": grow,
-        "raw_mean": tuple(RAW_MEANS),
-        "vol": vol,
-    }
-    return FeatureGroups(continuous, nominal, ordinal, groups)
+class ColumnSets:
+    """Names per kind and per set, each in the order of the schema."""
+
+    kinds: dict[str, tuple[str, ...]]
+    sets: dict[str, tuple[str, ...]]
+
+    def __getitem__(self, name: str) -> tuple[str, ...]:
+        return self.kinds[name] if name in self.kinds else self.sets[name]
+
+
+def column_sets(names: Iterable[str]) -> ColumnSets:
+    kinds: dict[str, list[str]] = {k: [] for k in KINDS}
+    sets: dict[str, list[str]] = {s: [] for s, _, _ in SETS}
+    for name in names:
+        for kind, parts in KINDS.items():
+            if any(part in name for part in parts):
+                kinds[kind].append(name)
+                for s, of, text in SETS:
+                    if of == kind and text in name:
+                        sets[s].append(name)
+    found = {s: tuple(v) for s, v in sets.items()} | {"raw_mean": RAW_MEANS}
+    found["all"] = tuple(name for s in STUDIED for name in found[s])
+    return ColumnSets({k: tuple(v) for k, v in kinds.items()}, found)
+
+
+def metric_columns(names: Iterable[str], metric: str, year: str | None = None, whole: bool = True) -> tuple[str, ...]:
+    """Yearly columns of a metric; without ``whole`` the metric is a pattern anywhere in the name."""
+    if whole:
+        start = metric + "."
+        hits = [n for n in names if n.startswith(start) or re.search(r"\W" + re.escape(start), n)]
+    else:
+        hits = [n for n in names if re.search(metric, n)]
+    return tuple(n for n in hits if year is None or year in n)
 
 
 def without(columns: Sequence[str], omit: Sequence[str]) -> tuple[str, ...]:

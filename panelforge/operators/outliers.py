@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import StatisticConfig
-from ..functions.scalars import col
-from ..session import broadcast_if_small, cut_lineage
+from ..config import StudySettings
+from ..functions.scalars import col, number
+from ..session import broadcast_if_small, store
 from .dbscan import noise_points
 from .forest import anomaly_scores
-from .neighbors import join_points, local_outlier_factor, point_condition, weighted_points
+from .neighbors import CELL_ROWS, join_points, local_outlier_factor, point_condition, weighted_points
 from .quantiles import ACCURACY, column_quantiles, grouped_quantiles, long_form
 
 BUCKET_ROWS = 50_000
@@ -38,18 +38,18 @@ def zscore_filter(df: DataFrame, cols: Sequence[str], threshold: float = 12.0, g
     """Keep rows with |z| < threshold in every column; population deviation."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(col(c)).alias(f"_m{i}"), F.stddev_pop(col(c)).alias(f"_s{i}")]
+        aggs += [F.avg(number(col(c))).alias(f"_m{i}"), F.stddev_pop(number(col(c))).alias(f"_s{i}")]
     if not group_cols:
         row = df.agg(*aggs).first()
         stats = [(row[f"_m{i}"], row[f"_s{i}"]) for i in range(len(cols))]
         return df.where(
-            _all(_z_within(col(c), F.lit(m), F.lit(s), threshold) for c, (m, s) in zip(cols, stats) if m is not None)
+            _all(_z_within(number(col(c)), F.lit(m), F.lit(s), threshold) for c, (m, s) in zip(cols, stats) if m is not None)
         )
     keys = [f"_k{i}" for i in range(len(group_cols))]
     stats = df.groupBy(*[col(g).alias(k) for g, k in zip(group_cols, keys)]).agg(*aggs)
     on = _all(col(g).eqNullSafe(F.col(k)) for g, k in zip(group_cols, keys))
     joined = df.join(broadcast_if_small(stats), on)
-    kept = joined.where(_all(_z_within(col(c), F.col(f"_m{i}"), F.col(f"_s{i}"), threshold) for i, c in enumerate(cols)))
+    kept = joined.where(_all(_z_within(number(col(c)), F.col(f"_m{i}"), F.col(f"_s{i}"), threshold) for i, c in enumerate(cols)))
     return kept.select(*[col(c) for c in df.columns])
 
 
@@ -75,7 +75,7 @@ def iqr_filter(
             if low is None:
                 continue
             spread = high - low
-            tests.append(_between(col(c), F.lit(low - factor * spread), F.lit(high + factor * spread)))
+            tests.append(_between(number(col(c)), F.lit(low - factor * spread), F.lit(high + factor * spread)))
         return df.where(_all(tests))
     keys = [f"_k{i}" for i in range(len(group_cols))]
     renamed = df.select(*[col(g).alias(k) for g, k in zip(group_cols, keys)], *[col(c) for c in cols])
@@ -86,28 +86,32 @@ def iqr_filter(
         for name, p in (("_lo", quantiles[0]), ("_hi", quantiles[1])):
             picks.append(F.max(F.when(here & (F.col("prob") == float(p)), F.col("quantile"))).alias(f"{name}{i}"))
     fences = found.groupBy(*keys).agg(*picks)
-    on = _all(col(g) == F.col(k) for g, k in zip(group_cols, keys))
+    on = _all(col(g).eqNullSafe(F.col(k)) for g, k in zip(group_cols, keys))
     joined = df.join(broadcast_if_small(fences), on, "left")
     tests = []
     for i, c in enumerate(cols):
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         spread = high - low
-        tests.append(_between(col(c), low - F.lit(factor) * spread, high + F.lit(factor) * spread))
+        tests.append(_between(number(col(c)), low - F.lit(factor) * spread, high + F.lit(factor) * spread))
     return joined.where(_all(tests)).select(*[col(c) for c in df.columns])
 
 
-def lof_scores(df: DataFrame, cols: Sequence[str], key: str, k: int = 20) -> DataFrame:
-    """``df`` with ``_lof``; NULL for rows incomplete in ``cols``."""
-    points = cut_lineage(weighted_points(df, key, cols))
-    scores = cut_lineage(local_outlier_factor(points, len(cols), k))
+def lof_scores(df: DataFrame, cols: Sequence[str], key: str, k: int = 20, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``df`` with ``_lof``; NULL for rows incomplete in ``cols``.
+
+    The frame is stored first, so that rows and points hold the very same numbers.
+    """
+    df = store(df)
+    points = store(weighted_points(df, key, cols))
+    scores = store(local_outlier_factor(points, len(cols), k, cell_rows))
     xs = [f"x{i}" for i in range(len(cols))]
     per_point = points.join(scores, "id").select(*xs, F.col("lof").alias("_lof"))
     return join_points(df, cols, per_point)
 
 
-def lof_filter(df: DataFrame, cols: Sequence[str], key: str, k: int = 20, contamination: float = 0.05) -> DataFrame:
+def lof_filter(df: DataFrame, cols: Sequence[str], key: str, k: int = 20, contamination: float = 0.05, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Drop the rows whose local outlier factor lies in the top share."""
-    scored = cut_lineage(lof_scores(df, cols, key, k).withColumn("_nof", -F.col("_lof")))
+    scored = store(lof_scores(df, cols, key, k, cell_rows).withColumn("_nof", -F.col("_lof")))
     offset = column_quantiles(scored, ["_nof"], [contamination])["_nof"][0]
     kept = scored if offset is None else scored.where(F.coalesce(F.col("_nof") >= F.lit(offset), F.lit(True)))
     return kept.drop("_lof", "_nof")
@@ -115,39 +119,40 @@ def lof_filter(df: DataFrame, cols: Sequence[str], key: str, k: int = 20, contam
 
 def isolation_filter(df: DataFrame, cols: Sequence[str], key: str, contamination: float = 0.01, seed: int = 42) -> DataFrame:
     """Drop the rows with the highest isolation-forest scores."""
-    scored = cut_lineage(anomaly_scores(df, key, cols, seed=seed).withColumn("_neg", -F.col("_score")))
+    scored = store(anomaly_scores(df, key, cols, seed=seed).withColumn("_neg", -F.col("_score")))
     offset = column_quantiles(scored, ["_neg"], [contamination])["_neg"][0]
     kept = scored if offset is None else scored.where(F.coalesce(F.col("_neg") >= F.lit(offset), F.lit(True)))
     return kept.drop("_score", "_neg")
 
 
-def noise_filter(df: DataFrame, cols: Sequence[str], key: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+def noise_filter(df: DataFrame, cols: Sequence[str], key: str, eps: float = 0.5, min_samples: int = 5, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Drop rows that density clustering calls noise."""
-    noise = noise_points(df, key, cols, eps, min_samples)
+    df = store(df)
+    noise = store(noise_points(df, key, cols, eps, min_samples, cell_rows))
     on, names = point_condition(cols)
     return df.join(noise.withColumnsRenamed(names), on, "left_anti")
 
 
-def drop_outliers(df: DataFrame, cols: Sequence[str], method: str, key: str, config: StatisticConfig | None = None) -> DataFrame:
+def drop_outliers(df: DataFrame, cols: Sequence[str], method: str, key: str, settings: StudySettings | None = None) -> DataFrame:
     """One filter by name: zscore, iqr, iso, lof or dbscan."""
-    c = config or StatisticConfig()
+    s = settings or StudySettings()
     filters: dict[str, Callable[[], DataFrame]] = {
-        "zscore": lambda: zscore_filter(df, cols, c.zscore_threshold),
-        "iqr": lambda: iqr_filter(df, cols, c.iqr_factor, c.iqr_quantiles),
-        "iso": lambda: isolation_filter(df, cols, key, c.iso_contamination, c.random_state),
-        "lof": lambda: lof_filter(df, cols, key, c.lof_n_neighbors, c.lof_contamination),
-        "dbscan": lambda: noise_filter(df, cols, key, c.dbscan_eps, c.dbscan_min_samples),
+        "zscore": lambda: zscore_filter(df, cols, s.deviation.limit),
+        "iqr": lambda: iqr_filter(df, cols, s.fence.reach, (s.fence.low, s.fence.high)),
+        "iso": lambda: isolation_filter(df, cols, key, s.forest.dropped, s.forest.seed),
+        "lof": lambda: lof_filter(df, cols, key, s.local.neighbours, s.local.dropped),
+        "dbscan": lambda: noise_filter(df, cols, key, s.density.radius, s.density.rows),
     }
     if method not in filters:
         raise ValueError(f"unknown outlier method {method!r}")
     return filters[method]()
 
 
-def outlier_chain(df: DataFrame, cols: Sequence[str], key: str, config: StatisticConfig | None = None) -> DataFrame:
+def outlier_chain(df: DataFrame, cols: Sequence[str], key: str, settings: StudySettings | None = None) -> DataFrame:
     """The configured filters in order, each stored before the next reads it."""
-    config = config or StatisticConfig()
-    for method in config.outlier_chain:
-        df = cut_lineage(drop_outliers(df, cols, method, key, config))
+    settings = settings or StudySettings()
+    for method in settings.filters:
+        df = store(drop_outliers(df, cols, method, key, settings))
     return df
 
 

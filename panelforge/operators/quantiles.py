@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import col
+from ..functions.scalars import col, number
 from ..session import broadcast_if_small
 
 ACCURACY = 10_000
 
 
 def long_form(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), dtype: str = "double") -> DataFrame:
-    """(keep..., column, value) rows of the given columns, all cast to one type."""
-    cast = df.select(*[col(k) for k in keep], *[col(c).cast(dtype).alias(c) for c in cols])
+    """(keep..., column, value) rows of the given columns, all cast to one type; NaN becomes NULL."""
+    typed = (lambda c: number(col(c))) if dtype == "double" else (lambda c: col(c).cast(dtype))
+    cast = df.select(*[col(k) for k in keep], *[typed(c).alias(c) for c in cols])
     return cast.unpivot([col(k) for k in keep], [col(c) for c in cols], "column", "value")
 
 
@@ -57,7 +58,11 @@ def grouped_quantiles(
             ]
         ).alias("_brackets"),
     )
-    joined = present.join(broadcast_if_small(brackets), list(keys))
+    side = brackets.select(*[col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_brackets")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & col(k).eqNullSafe(F.col(f"_key{i}"))
+    joined = present.join(broadcast_if_small(side), same)
     marked = joined.select(*[col(k) for k in keys], col(value).alias("_v"), F.inline("_brackets")).where(
         F.col("_v") <= F.col("_hi")
     )

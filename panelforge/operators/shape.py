@@ -128,15 +128,15 @@ def above_threshold(chosen: DataFrame, threshold: float) -> DataFrame:
     return chosen.where((F.abs("skew") + F.abs("kurt")) / 2 >= F.lit(float(threshold)))
 
 
-def apply_transforms(
+def reshape_columns(
     df: DataFrame, chosen: Mapping[str, str], registry: TransformRegistry | None = None
 ) -> DataFrame:
     """Apply a transform per column in one projection; power is fitted on this frame."""
     registry = registry or TransformRegistry()
-    known = {c: t for c, t in chosen.items() if t in registry.names()}
-    for c in chosen:
-        if c not in known:
-            log.warning("no transform found for column: %s", c)
+    available = set(registry.names())
+    known = {c: t for c, t in chosen.items() if t in available}
+    if unknown := sorted(set(chosen.values()) - available):
+        log.warning("the registry has no %s; those columns stay as they are", ", ".join(unknown))
     if not known:
         return df
     power = [c for c, t in known.items() if registry.needs_fit(t)]
@@ -159,7 +159,7 @@ def choose_and_apply(
     registry = registry or TransformRegistry()
     chosen = above_threshold(optimal_transforms(table, registry.names()), threshold)
     picks = {r["column"]: r["transform"] for r in chosen.collect()}
-    return apply_transforms(df, {c: picks[c] for c in df.columns if c in picks}, registry), chosen
+    return reshape_columns(df, {c: picks[c] for c in df.columns if c in picks}, registry), chosen
 
 
 def mean_shape(df: DataFrame, cols: Sequence[str]) -> DataFrame:

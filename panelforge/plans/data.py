@@ -10,7 +10,7 @@ from ..config import SAMPLE_FRACTION, STAGES
 from ..functions.scalars import normalize_missing
 from ..operators.clean import clean_panel
 from ..operators.features import build_features
-from ..operators.groups import FeatureGroups, group_features
+from ..operators.groups import ColumnSets, column_sets
 from ..operators.profile import describe, quality_report
 from ..operators.sampling import stratified_sample
 from ..session import cut_lineage
@@ -20,7 +20,7 @@ from ..sources.tables import StageStore, save_if_absent, save_parquet
 @dataclass(frozen=True)
 class DataResult:
     features: DataFrame
-    groups: FeatureGroups
+    sets: ColumnSets
 
 
 def run_data_plan(
@@ -37,4 +37,4 @@ def run_data_plan(
     cleaned, sectors = clean_panel(sample, order=key)
     save_parquet(sectors, store.path("sectors"))
     features = store.save(build_features(cleaned), STAGES[0])
-    return DataResult(features, group_features(features.columns))
+    return DataResult(features, column_sets(features.columns))

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import STAGES, StatisticConfig
+from ..config import STAGES, StudySettings
 from ..functions.scalars import col
 from ..operators import density, matrices
 from ..operators.correlation import distance_correlation, kendall, pearson, spearman, variance_vector
-from ..operators.groups import group_features, without
+from ..operators.groups import column_sets, without
 from ..operators.outliers import outlier_chain
 from ..operators.sampling import stratified_sample
 from ..operators.shape import analyze_shape, choose_and_apply
-from ..session import cut_lineage
+from ..session import store as store_frame
 from ..sources.tables import StageStore, append_manifest, save_parquet
 
 METHODS = ("pearson", "spearman", "kendall", "distance")
@@ -36,14 +37,14 @@ def explore(df: DataFrame, cols: Sequence[str], key: str, run: int) -> tuple[Dat
 
 
 def shape_rounds(
-    df: DataFrame, cols: Sequence[str], stratum: str, key: str, config: StatisticConfig, store: StageStore
+    df: DataFrame, cols: Sequence[str], stratum: str, key: str, settings: StudySettings, store: StageStore
 ) -> DataFrame:
     """Analyse, choose and apply transforms ``rounds`` times, storing stage and map of each."""
-    for i in range(1, config.rounds + 1):
-        report = cut_lineage(analyze_shape(df, cols, stratum, key, config.sample_fraction))
+    for i in range(1, settings.shapes.rounds + 1):
+        report = store_frame(analyze_shape(df, cols, stratum, key, settings.fraction))
         save_parquet(report, store.path(f"shape{i}"))
         table = report.select("column", "transform", F.col("skew_after").alias("skew"), F.col("kurt_after").alias("kurt"))
-        shaped, chosen = choose_and_apply(df, table, config.shape_threshold)
+        shaped, chosen = choose_and_apply(df, table, settings.shapes.least)
         save_parquet(chosen, store.path(f"transform_map{i}"))
         df = store.save(shaped, f"transform{i}")
     return df
@@ -54,12 +55,12 @@ def explore_stages(
 ) -> DataFrame:
     """Exploration of every stored stage on its stratified sample; returns the stored matrices."""
     for run, stage in enumerate(stages):
-        sample = cut_lineage(stratified_sample(store.load(stage), stratum, key, fraction))
+        sample = store_frame(stratified_sample(store.load(stage), stratum, key, fraction))
         found, variances = explore(sample, cols, key, run)
         save_parquet(found, store.path(f"matrices{run}"))
         save_parquet(variances, store.path(f"variances{run}"))
-        for group, names in group_features(sample.columns).groups.items():
-            if group not in ("all", "vol"):
+        for group, names in column_sets(sample.columns).sets.items():
+            if group in ("grow", "raw_mean", "fur"):
                 save_parquet(density.density_curve(sample, names), store.path(f"density_{group}{run}"))
                 save_parquet(density.scatter_pairs(sample, names, stratum, key, 1.0), store.path(f"pairs_{group}{run}"))
     return reduce(DataFrame.unionAll, [store.load(f"matrices{run}") for run in range(len(stages))])
@@ -80,26 +81,26 @@ def matrix_studies(found: DataFrame, cols: Sequence[str], runs: Sequence[int], s
 
 def run_stats_plan(
     store: StageStore,
-    config: StatisticConfig | None = None,
+    settings: StudySettings | None = None,
     stratum: str = "Sector 1",
     key: str = "row_id",
     manifest: str | None = None,
     run_id: str = "run",
 ) -> DataFrame:
     """All steps after the feature stage; the manifest row is written even on failure."""
-    config = config or StatisticConfig()
+    settings = settings or StudySettings()
     status = "failed"
     try:
         raw = store.load(STAGES[0])
-        groups = group_features(raw.columns)
-        kept = store.save(outlier_chain(raw, groups.continuous, key, config), STAGES[1])
-        shaped = shape_rounds(kept, groups.continuous, stratum, key, config, store)
-        stages = [*STAGES[:2], *[f"transform{i}" for i in range(1, config.rounds + 1)]]
-        cols = without(groups.groups["all"], groups.groups["vol"])
-        found = explore_stages(store, stages, cols, stratum, key, config.sample_fraction)
+        sets = column_sets(raw.columns)
+        kept = store.save(outlier_chain(raw, sets["continuous"], key, settings), STAGES[1])
+        shaped = shape_rounds(kept, sets["continuous"], stratum, key, settings, store)
+        stages = [*STAGES[:2], *[f"transform{i}" for i in range(1, settings.shapes.rounds + 1)]]
+        cols = without(sets["all"], sets["vol"])
+        found = explore_stages(store, stages, cols, stratum, key, settings.fraction)
         matrix_studies(found, cols, range(1, len(stages)), store)
         status = "done"
         return shaped.select(*[col(c) for c in shaped.columns])
     finally:
         if manifest:
-            append_manifest(store.spark, manifest, run_id, "stats", status, config.to_dict())
+            append_manifest(store.spark, manifest, run_id, "stats", status, asdict(settings))

@@ -89,9 +89,9 @@ def test_all_missing_growth_stays_missing(spark):
 def test_group_sizes_and_ordered_difference():
     columns = [f"{m}_mean" for m in features.METRICS] + [f"growth_{m}_mean" for m in features.METRICS]
     columns += [f"volatility_{m}" for m in features.METRICS] + ["fur_debt_to_eq", "fur_op_marg", "fur_asset_turnover", "fur_roa"]
-    g = groups.group_features(columns)
-    assert {k: len(v) for k, v in g.groups.items()} == {"all": 25, "fur": 4, "grow": 6, "raw_mean": 6, "vol": 6}
+    g = groups.column_sets(columns)
+    assert {k: len(v) for k, v in g.sets.items()} == {"all": 25, "fur": 4, "grow": 6, "raw_mean": 6, "vol": 6, "score": 3}
     assert groups.without(["b", "a", "c"], ["a"]) == ("b", "c")
     names = ["EBIT.2020", "EBIT.2019", "EBITDA.2020"]
-    assert groups.select_features(names, "EBIT", "2020", True) == ("EBIT.2020",)
-    assert groups.select_features(names, "EBIT", "2020", False) == ("EBIT.2020", "EBITDA.2020")
+    assert groups.metric_columns(names, "EBIT", "2020") == ("EBIT.2020",)
+    assert groups.metric_columns(names, "EBIT", "2020", whole=False) == ("EBIT.2020", "EBITDA.2020")

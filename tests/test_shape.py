@@ -89,9 +89,9 @@ def test_choice_is_the_lowest_sum_and_ties_take_the_earlier(spark):
 
 def test_apply_leaves_other_columns_alone(spark):
     df = spark.createDataFrame([(1, 4.0, 5.0), (2, 9.0, 6.0)], "id int, a double, b double")
-    out = shape.apply_transforms(df, {"a": "sqrt", "b": "unknown"})
+    out = shape.reshape_columns(df, {"a": "sqrt", "b": "unknown"})
     assert [tuple(r) for r in out.collect()] == [(1, 2.0, 5.0), (2, 3.0, 6.0)]
-    powered = shape.apply_transforms(df, {"b": "power"}).toPandas()
+    powered = shape.reshape_columns(df, {"b": "power"}).toPandas()
     assert abs(powered["b"].mean()) < 1e-9 and abs(powered["b"].std(ddof=0) - 1) < 1e-9
 
 
@@ -99,7 +99,7 @@ def test_registry_takes_user_transforms(spark):
     registry = fx.TransformRegistry(include_power=False)
     registry.register("double", lambda x: x * 2)
     df = spark.createDataFrame([(1.0,), (2.0,)], "a double")
-    assert [r[0] for r in shape.apply_transforms(df, {"a": "double"}, registry).collect()] == [2.0, 4.0]
+    assert [r[0] for r in shape.reshape_columns(df, {"a": "double"}, registry).collect()] == [2.0, 4.0]
 
 
 def test_matrix_studies(spark):

@@ -6,8 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from panelforge.config import ModelConfig, StatisticConfig
-from panelforge.operators.groups import group_features
+from dataclasses import asdict
+
+from panelforge.config import ModelSettings, StudySettings
+from panelforge.operators.groups import column_sets
 from panelforge.plans.data import run_data_plan
 from panelforge.session import ensure_checkpoint_dir
 from panelforge.sources import tables
@@ -62,10 +64,10 @@ def test_stages_of_two_runs_are_apart(spark, folder):
 
 
 def test_manifest_rows_append(spark, folder):
-    tables.append_manifest(spark, f"{folder}/m", "a", "stats", "failed", StatisticConfig().to_dict())
-    tables.append_manifest(spark, f"{folder}/m", "b", "model", "done", ModelConfig().to_dict())
+    tables.append_manifest(spark, f"{folder}/m", "a", "stats", "failed", asdict(StudySettings()))
+    tables.append_manifest(spark, f"{folder}/m", "b", "model", "done", asdict(ModelSettings()))
     rows = {r["run_id"]: r for r in spark.read.parquet(f"{folder}/m").collect()}
-    assert rows["a"]["status"] == "failed" and json.loads(rows["b"]["config"])["n_clusters"] == 4
+    assert rows["a"]["status"] == "failed" and json.loads(rows["b"]["config"])["partition"]["clusters"] == 4
 
 
 def test_checkpoint_folder_is_taken_from_the_session(spark):
@@ -77,7 +79,7 @@ def test_data_plan_writes_its_stages(spark, small_dir, folder):
     store = tables.StageStore(spark, folder, "1")
     result = run_data_plan(company_panel(spark, small_dir), store, fraction=1.0)
     assert result.features.count() == 41
-    assert result.groups == group_features(result.features.columns) and len(result.groups.continuous) == 22
+    assert result.sets == column_sets(result.features.columns) and len(result.sets["continuous"]) == 22
     for name in ("quality", "describe", "sectors", "raw"):
         assert os.path.isdir(store.path(name))
     assert store.load("sectors").count() <= 25
