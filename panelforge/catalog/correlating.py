@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..config import RAW_MEANS
 from ..operators import correlation, density, matrices
-from .common import feature_frame, long_sql, points, points_sql, r, table
+from .common import BLOCKS as XS
+from .common import blocks, blocks_sql, feature_frame, long_sql, r, table
 from .panel_sql import FEATURES
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-XS = ["x1", "x2", "x3", "x4"]
 
 
 def _value(df, digits=6):
@@ -45,9 +45,9 @@ def ranks_sql(source: str, cols, cte: str = "ranked") -> str:
     return f"{cte} AS (SELECT {ranked} FROM {source})"
 
 
-QUERIES["r2_spearman_embeddings"] = lambda s, d: _value(correlation.spearman(points(s, d), [*XS, "label"], "vec_id"))
+QUERIES["r2_spearman_embeddings"] = lambda s, d: _value(correlation.spearman(blocks(s, d), [*XS, "label"], "vec_id"))
 ORACLES["r2_spearman_embeddings"] = (
-    f"WITH {points_sql()}, {ranks_sql('pts', [*XS, 'label'])} {pearson_sql('ranked', [*XS, 'label'])}"
+    f"WITH {blocks_sql()}, {ranks_sql('pts', [*XS, 'label'])} {pearson_sql('ranked', [*XS, 'label'])}"
 )
 PART = ["p_size", "p_retailprice", "p_partkey"]
 QUERIES["r2_spearman_part"] = lambda s, d: _value(correlation.spearman(table(s, d, "part"), PART, "p_partkey"))
@@ -69,8 +69,8 @@ def kendall_sql(source: str, cols) -> str:
     return f"sums AS (SELECT {sums} FROM {source} a CROSS JOIN {source} b) {rows}"
 
 
-QUERIES["r3_kendall_embeddings"] = lambda s, d: _value(correlation.kendall(points(s, d), [*XS, "label"]))
-ORACLES["r3_kendall_embeddings"] = f"WITH {points_sql()}, {kendall_sql('pts', [*XS, 'label'])}"
+QUERIES["r3_kendall_embeddings"] = lambda s, d: _value(correlation.kendall(blocks(s, d), [*XS, "label"]))
+ORACLES["r3_kendall_embeddings"] = f"WITH {blocks_sql()}, {kendall_sql('pts', [*XS, 'label'])}"
 CUST = ["c_custkey", "c_nationkey", "c_acctbal"]
 QUERIES["r3_kendall_customer"] = lambda s, d: _value(correlation.kendall(table(s, d, "customer"), CUST))
 ORACLES["r3_kendall_customer"] = f"WITH {kendall_sql('customer', CUST)}"
@@ -95,9 +95,9 @@ def dcor_sql(source: str, key: str, cols, digits: int = 6) -> str:
 
 
 QUERIES["r4_distance_correlation_embeddings"] = lambda s, d: _value(
-    correlation.distance_correlation(points(s, d), XS, "vec_id")
+    correlation.distance_correlation(blocks(s, d), XS, "vec_id")
 )
-ORACLES["r4_distance_correlation_embeddings"] = f"WITH {points_sql()}, {dcor_sql('pts', 'vec_id', XS)}"
+ORACLES["r4_distance_correlation_embeddings"] = f"WITH {blocks_sql()}, {dcor_sql('pts', 'vec_id', XS)}"
 QUERIES["r4_distance_correlation_customer"] = lambda s, d: _value(
     correlation.distance_correlation(table(s, d, "customer"), CUST, "c_custkey")
 )
@@ -127,13 +127,14 @@ ORACLES["r6_density_curve_events"] = """WITH st AS (SELECT count(value) AS n, mi
     SELECT 'value' AS "column", point, round(x, 4) + 0.0 AS x,
       round(sum(exp(-0.5 * ((x - value) / h) * ((x - value) / h))) / (max(n) * max(h) * sqrt(2 * pi())), 8) + 0.0 AS density
     FROM grid, events GROUP BY point, x"""
-QUERIES["r6_scatter_pairs_embeddings"] = lambda s, d: density.scatter_pairs(points(s, d), ["x1", "x2", "x3"], "label", "vec_id", 0.5)
-ORACLES["r6_scatter_pairs_embeddings"] = f"""WITH {points_sql()},
+QUERIES["r6_scatter_pairs_embeddings"] = lambda s, d: density.scatter_pairs(blocks(s, d), XS, "label", "vec_id", 0.5)
+ORACLES["r6_scatter_pairs_embeddings"] = f"""WITH {blocks_sql()},
     sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) AS rn,
         count(*) OVER (PARTITION BY label) AS n FROM pts) WHERE rn <= floor(CAST(0.5 AS DOUBLE) * n))
     """ + " UNION ALL ".join(
     f"SELECT vec_id, '{a}' AS x_col, '{b}' AS y_col, {a} AS x, {b} AS y FROM sampled"
-    for a, b in (("x1", "x2"), ("x1", "x3"), ("x2", "x3"))
+    for i, a in enumerate(XS)
+    for b in XS[i + 1 :]
 )
 
 # --- matrix studies ----------------------------------------------------------

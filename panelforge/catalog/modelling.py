@@ -10,14 +10,13 @@ from ..config import Density, ModelSettings
 from ..operators import cluster, dbscan, density, evaluate, features
 from ..operators import reduce as components
 from ..session import cut_lineage
-from .common import cleaned_panel, feature_frame, points, points_sql, r, rounded, table
-from .outlying import NEAR
+from .common import XS, blocks, blocks_sql, cleaned_panel, feature_frame, points, points_sql, r, rounded, table
+from .outlying import EPS, NEAR
 from .panel_sql import FEATURES
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-XS = ["x1", "x2", "x3", "x4"]
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 QUERIES["m1_variance_filter_lineitem"] = lambda s, d: components.variance_filter(table(s, d, "lineitem"), LINE, 0.1)
@@ -45,14 +44,17 @@ PCA2 = """mom AS (SELECT avg({a}) AS ma, avg({b}) AS mb, var_samp({a}) AS va, va
                    CASE WHEN abs(w) > abs(u) THEN sign(-w) ELSE sign(u) END AS s2 FROM vec)"""
 
 
+HALF = 32
+
+
 def _pca(s, d):
-    return components.fit_components(points(s, d), ["x1", "x2"], 2)
+    return components.fit_components(blocks(s, d, HALF), ["x1", "x2"], 2)
 
 
 QUERIES["m3_component_scores_embeddings"] = lambda s, d: rounded(
-    _pca(s, d).scores(points(s, d), ["vec_id"]), ["PC1", "PC2"]
+    _pca(s, d).scores(blocks(s, d, HALF), ["vec_id"]), ["PC1", "PC2"]
 )
-ORACLES["m3_component_scores_embeddings"] = f"""WITH {points_sql(2)}, {PCA2.format(a='x1', b='x2', t='pts')}
+ORACLES["m3_component_scores_embeddings"] = f"""WITH {blocks_sql(HALF)}, {PCA2.format(a='x1', b='x2', t='pts')}
     SELECT vec_id, round(s1 * ((x1 - ma) * u + (x2 - mb) * w), 6) + 0.0 AS "PC1",
            round(s2 * ((x1 - ma) * -w + (x2 - mb) * u), 6) + 0.0 AS "PC2" FROM pts, sgn"""
 QUERIES["m4_explained_variance_lineitem"] = lambda s, d: rounded(
@@ -89,10 +91,10 @@ ORACLES["m5_nearest_centre_embeddings"] = f"""WITH {points_sql()},
 QUERIES["m5_kmeans_embeddings"] = lambda s, d: cluster.kmeans(points(s, d), XS, 4)[0].select("vec_id", "Cluster")
 
 # --- density ------------------------------------------------------------------------
-QUERIES["m6_dbscan_embeddings"] = lambda s, d: dbscan.dbscan(points(s, d, 2), "vec_id", ["x1", "x2"], 0.02, 5).select(
+QUERIES["m6_dbscan_embeddings"] = lambda s, d: dbscan.dbscan(points(s, d), "vec_id", XS, EPS, 5).select(
     "vec_id", "Cluster"
 )
-ORACLES["m6_dbscan_embeddings"] = f"""WITH RECURSIVE {points_sql(2)}, {NEAR.format(eps="CAST(0.02 AS DOUBLE)", m=5)},
+ORACLES["m6_dbscan_embeddings"] = f"""WITH RECURSIVE {points_sql()}, {NEAR.format(eps=f"CAST({EPS} AS DOUBLE)", m=5)},
     link AS (SELECT a, b FROM near JOIN core x ON a = x.id JOIN core y ON b = y.id),
     walk AS (SELECT id AS node, id AS root FROM core UNION SELECT link.b, walk.root FROM walk JOIN link ON walk.node = link.a),
     comp AS (SELECT node, min(root) AS root FROM walk GROUP BY node),
@@ -106,7 +108,7 @@ QUERIES["m7_ward_embeddings"] = lambda s, d: cluster.agglomerative(points(s, d),
 
 def _dispatched(s, d):
     pts = points(s, d)
-    params = {"kmeans": {"k": 4}, "dbscan": {"eps": 0.08, "min_samples": 5}, "agglomerative": {"k": 4}}
+    params = {"kmeans": {"k": 4}, "dbscan": {"eps": EPS, "min_samples": 5}, "agglomerative": {"k": 4}}
     parts = [
         cluster.cluster(pts, XS, m, "vec_id", **p).select(F.lit(m).alias("method"), "vec_id", F.col("Cluster").cast("long").alias("Cluster"))
         for m, p in params.items()
@@ -146,7 +148,7 @@ ORACLES["m10_davies_bouldin_embeddings"] = f"""WITH {points_sql()},
 def _compared(s, d):
     from ..plans.model import compare_methods
 
-    settings = ModelSettings(density=Density(radius=0.08))
+    settings = ModelSettings(density=Density(radius=EPS))
     pts = cut_lineage(points(s, d).select("vec_id", *XS))
     return compare_methods(pts, XS, "vec_id", settings)[1]
 
@@ -185,12 +187,12 @@ ORACLES["m16_contingency_labels"] = "SELECT quality, toxic, count(*) AS count FR
 
 
 def _cluster_scatter(s, d):
-    scores = rounded(_pca(s, d).scores(points(s, d), ["vec_id", "label"]), ["PC1", "PC2"])
+    scores = rounded(_pca(s, d).scores(blocks(s, d, HALF), ["vec_id", "label"]), ["PC1", "PC2"])
     return density.scatter_sample(scores, ["PC1", "PC2"], "label", "vec_id", 0.25, ["label"])
 
 
 QUERIES["m17_cluster_scatter_embeddings"] = _cluster_scatter
-ORACLES["m17_cluster_scatter_embeddings"] = f"""WITH {points_sql(2)}, {PCA2.format(a='x1', b='x2', t='pts')},
+ORACLES["m17_cluster_scatter_embeddings"] = f"""WITH {blocks_sql(HALF)}, {PCA2.format(a='x1', b='x2', t='pts')},
     sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) AS rn,
         count(*) OVER (PARTITION BY label) AS n FROM pts) WHERE rn <= floor(CAST(0.25 AS DOUBLE) * n))
     SELECT vec_id, label, round(s1 * ((x1 - ma) * u + (x2 - mb) * w), 6) + 0.0 AS "PC1",

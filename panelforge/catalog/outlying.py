@@ -7,7 +7,7 @@ import numpy as np
 from ..config import CONTINUOUS, StudySettings
 from ..functions.scalars import col
 from ..operators import outliers
-from .common import feature_frame, points, points_sql, r, table
+from .common import XS, feature_frame, points, points_sql, r, table
 from .panel_sql import FEATURES
 
 QUERIES: dict = {}
@@ -61,10 +61,9 @@ ORACLES["o2_quantile_fence_by_flag"] = "WITH " + _fence_sql(
 )
 
 # --- isolation forest: seeded draws have no SQL form --------------------------
-XS = [f"x{i + 1}" for i in range(4)]
 QUERIES["o3_isolation_forest_embeddings"] = lambda s, d: outliers.isolation_filter(
     points(s, d), XS, "vec_id", 0.05
-).select("vec_id", *XS)
+).select("vec_id", *XS[:2])
 
 
 # --- local outlier factor ------------------------------------------------------
@@ -95,13 +94,15 @@ ORACLES["o4_lof_filter_embeddings"] = f"""WITH {points_sql()}, {lof_sql('pts', '
     SELECT vec_id, label FROM pts JOIN lof ON vec_id = id CROSS JOIN cut WHERE -lof >= q"""
 
 # --- density noise ---------------------------------------------------------------
-NEAR = """near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM pts a JOIN pts b
-      ON (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) <= {eps} * {eps}),
+NEAR = "near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM pts a JOIN pts b ON " + " + ".join(
+    f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in XS
+) + """ <= {eps} * {eps}),
     core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {m})"""
+EPS = 1.16
 QUERIES["o5_density_noise_embeddings"] = lambda s, d: outliers.noise_filter(
-    points(s, d, 2), ["x1", "x2"], "vec_id", 0.02, 5
+    points(s, d), XS, "vec_id", EPS, 5
 ).select("vec_id", "label")
-ORACLES["o5_density_noise_embeddings"] = f"""WITH {points_sql(2)}, {NEAR.format(eps="CAST(0.02 AS DOUBLE)", m=5)}
+ORACLES["o5_density_noise_embeddings"] = f"""WITH {points_sql()}, {NEAR.format(eps=f"CAST({EPS} AS DOUBLE)", m=5)}
     SELECT vec_id, label FROM pts WHERE vec_id IN (SELECT a FROM near JOIN core ON b = id)"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import correlation, evaluate
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as t
-from .common import points, r, rounded, table
+from .common import XS, points, r, rounded, table
 from .correlating import pearson_sql
 
 QUERIES: dict = {}
@@ -78,12 +78,12 @@ ORACLES["s5_parquet_round_trip_customer"] = "SELECT * FROM customer"
 
 def _stage(s, d):
     store = t.StageStore(s, _folder(s), "one")
-    store.save(table(s, d, "orders").where("o_totalprice > 100000"), "raw")
+    store.save(table(s, d, "orders"), "raw")
     return store.load("raw").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 QUERIES["s6_stage_checkpoint_orders"] = _stage
-ORACLES["s6_stage_checkpoint_orders"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000"
+ORACLES["s6_stage_checkpoint_orders"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount"]
 
@@ -114,7 +114,7 @@ ORACLES["s10_run_manifest_orders"] = """SELECT run_id, 'stats' AS stage, status,
 
 def _metrics(s, d):
     path = f"{_folder(s)}/clustering_metrics_run_1"
-    score = evaluate.davies_bouldin(points(s, d), ["x1", "x2", "x3", "x4"], "label", "vec_id")
+    score = evaluate.davies_bouldin(points(s, d), XS, "label", "vec_id")
     t.save_json(score.select(F.lit(1).alias("run"), F.lit("given").alias("method"), r("davies_bouldin").alias("davies_bouldin")), path)
     return t.load_json(s, path, "run int, method string, davies_bouldin double")
 
