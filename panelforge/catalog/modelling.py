@@ -106,6 +106,11 @@ ORACLES["m6_dbscan_embeddings"] = f"""WITH RECURSIVE {points_sql()}, {NEAR.forma
 QUERIES["m7_ward_embeddings"] = lambda s, d: cluster.agglomerative(points(s, d), XS, "vec_id", 4).select("vec_id", "Cluster")
 
 
+QUERIES["m7_ward_micro_embeddings"] = lambda s, d: cluster.agglomerative(points(s, d), XS, "vec_id", 4, micro=64).select(
+    "vec_id", "Cluster"
+)
+
+
 def _dispatched(s, d):
     pts = points(s, d)
     params = {"kmeans": {"k": 4}, "dbscan": {"eps": EPS, "min_samples": 5}, "agglomerative": {"k": 4}}
@@ -133,6 +138,12 @@ QUERIES["m9_mean_silhouette_embeddings"] = lambda s, d: rounded(
     evaluate.silhouette(points(s, d), XS, "label", "vec_id"), ["silhouette"]
 )
 ORACLES["m9_mean_silhouette_embeddings"] = f"WITH {SIL} SELECT round(avg(s), 6) + 0.0 AS silhouette FROM sil"
+QUERIES["m9_silhouette_squared_embeddings"] = lambda s, d: s.createDataFrame(
+    [(round(evaluate.silhouette_squared(points(s, d), XS, "label"), 6),)], "silhouette double"
+)
+ORACLES["m9_silhouette_squared_embeddings"] = (
+    f"WITH {SIL} SELECT round(avg(s), 6) + 0.0 AS silhouette FROM sil".replace(f"sum(sqrt({SQUARE}))", f"sum({SQUARE})")
+)
 QUERIES["m10_davies_bouldin_embeddings"] = lambda s, d: rounded(
     evaluate.davies_bouldin(points(s, d), XS, "label", "vec_id"), ["davies_bouldin"]
 )

@@ -129,9 +129,10 @@ class Density:
 
 @dataclass(frozen=True)
 class Partition:
-    """Number of clusters of k-means and of the Ward tree."""
+    """Number of clusters of k-means and of the Ward tree; ``micro`` builds the tree over micro-clusters."""
 
     clusters: int = 4
+    micro: int | None = None
     seed: int = SEED
 
 
@@ -175,4 +176,5 @@ class ModelSettings:
     def arguments(self, method: str) -> dict:
         if method == "dbscan":
             return {"eps": self.density.radius, "min_samples": self.density.rows}
-        return {"k": self.partition.clusters, "seed": self.partition.seed}
+        found = {"k": self.partition.clusters, "seed": self.partition.seed}
+        return found | {"micro": self.partition.micro} if method == "agglomerative" else found

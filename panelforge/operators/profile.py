@@ -13,6 +13,10 @@ from ..functions.scalars import col, normalize_missing, numeric_columns
 from .quantiles import ACCURACY, grouped_quantiles, long_form
 
 
+#: Longer strings are counted by a hash; it is longer itself, so it equals no shorter string.
+HASHED_BYTES = 32
+
+
 def _value_class(dtype: T.DataType) -> str:
     """The type a column's values are compared in; lossless for each class."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -41,6 +45,9 @@ def value_counts_long(df: DataFrame) -> DataFrame:
     parts = []
     for dtype, cols in _by_class(df).items():
         long = long_form(df, cols, dtype=dtype)
+        if dtype == "string":  # long texts are told apart by their hash, so they are never shuffled
+            value = F.col("value")
+            long = long.withColumn("value", F.when(F.octet_length(value) > HASHED_BYTES, F.sha2(value, 256)).otherwise(value))
         zero = F.col("value") == 0 if dtype in ("bigint", "double") or dtype.startswith("decimal") else F.lit(False)
         counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         parts.append(
