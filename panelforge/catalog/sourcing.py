@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import correlation, evaluate
+from ..operators.profile import quality_report
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as t
 from .common import XS, points, r, rounded, table
 from .correlating import pearson_sql
+from .profiling import ORACLES as PROFILE
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -122,6 +124,18 @@ def _metrics(s, d):
 QUERIES["s11_metrics_sink_embeddings"] = _metrics
 
 
+def _written_once(s, d):
+    """The report of the first write stays; the second, of another table, is ignored."""
+    path = f"{_folder(s)}/quality"
+    t.save_if_absent(quality_report(table(s, d, "lineitem")), path)
+    t.save_if_absent(quality_report(table(s, d, "orders")), path)
+    return t.load_parquet(s, path)
+
+
+QUERIES["q3_report_written_once_lineitem"] = _written_once
+ORACLES["q3_report_written_once_lineitem"] = PROFILE["q1_quality_report_lineitem"]
+
+
 def _metrics_sql() -> str:
     from .modelling import ORACLES as MODEL
 

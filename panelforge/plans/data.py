@@ -11,7 +11,7 @@ from ..functions.scalars import normalize_missing
 from ..operators.clean import clean_panel
 from ..operators.features import build_features
 from ..operators.groups import ColumnSets, column_sets
-from ..operators.profile import describe, quality_report
+from ..operators.profile import describe, quality_report, shape_audit
 from ..operators.sampling import stratified_sample
 from ..session import cut_lineage
 from ..sources.tables import StageStore, save_if_absent, save_parquet
@@ -30,11 +30,12 @@ def run_data_plan(
     key: str = "row_id",
     fraction: float = SAMPLE_FRACTION,
 ) -> DataResult:
-    """Sample, profile, clean, build features; writes ``quality``, ``describe``, ``sectors`` and ``raw``."""
+    """Sample, profile, clean, build features; writes ``quality``, ``describe``, ``sectors``, ``row_audit`` and ``raw``."""
     sample = cut_lineage(stratified_sample(normalize_missing(raw), stratum, key, fraction))
     save_if_absent(quality_report(sample), store.path("quality"))
     save_if_absent(describe(sample), store.path("describe"))
     cleaned, sectors = clean_panel(sample, order=key)
     save_parquet(sectors, store.path("sectors"))
     features = store.save(build_features(cleaned), STAGES[0])
+    save_parquet(shape_audit({"sample": sample, "cleaned": cleaned, "features": features}), store.path("row_audit"))
     return DataResult(features, column_sets(features.columns))

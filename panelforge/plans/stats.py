@@ -16,7 +16,7 @@ from ..operators.correlation import distance_correlation, kendall, pearson, spea
 from ..operators.groups import column_sets, without
 from ..operators.outliers import outlier_chain
 from ..operators.sampling import stratified_sample
-from ..operators.shape import analyze_shape, choose_and_apply
+from ..operators.shape import analyze_shape, choose_and_apply, shape_audit
 from ..session import store as store_frame
 from ..sources.tables import StageStore, append_manifest, save_parquet
 
@@ -46,7 +46,8 @@ def shape_rounds(
         table = report.select("column", "transform", F.col("skew_after").alias("skew"), F.col("kurt_after").alias("kurt"))
         shaped, chosen = choose_and_apply(df, table, settings.shapes.least)
         save_parquet(chosen, store.path(f"transform_map{i}"))
-        df = store.save(shaped, f"transform{i}")
+        before, df = df, store.save(shaped, f"transform{i}")
+        save_parquet(shape_audit(before, df, cols), store.path(f"shape_audit{i}"))
     return df
 
 

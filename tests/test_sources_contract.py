@@ -80,7 +80,7 @@ def test_data_plan_writes_its_stages(spark, small_dir, folder):
     result = run_data_plan(company_panel(spark, small_dir), store, fraction=1.0)
     assert result.features.count() == 41
     assert result.sets == column_sets(result.features.columns) and len(result.sets["continuous"]) == 22
-    for name in ("quality", "describe", "sectors", "raw"):
+    for name in ("quality", "describe", "sectors", "row_audit", "raw"):
         assert os.path.isdir(store.path(name))
     assert store.load("sectors").count() <= 25
 
