@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,15 +174,14 @@ def fit_chain(
     """
     sample = labelled_sample(docs, labels, categories, per_class, id_col, text_col)
     sample = store(sample.withColumn("id", F.monotonically_increasing_id()))
-    numbers = [F.col(c) for c in categories]
-    rows = sample.select("id", "share", *numbers).orderBy("id").collect()  # at most 2 * per_class
-    if not rows:
+    last = categories[-1]
+    size = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(last).alias("n1")).first()
+    if not size["n"]:
         return Chain(list(categories), [], [Linear(np.zeros(j), -20.0) for j in range(len(categories))])
     present = store(_with_features(sample, "id", "text"))
-    last = categories[-1]
     y_last = F.broadcast(sample.select("id", F.col(last).alias("y")))
     counts = present.join(y_last, "id").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).where(F.col("n") >= min_docs)
-    total, total1 = float(len(rows)), float(sum(r[last] for r in rows))
+    total, total1 = float(size["n"]), float(size["n1"])
 
     def part(observed, expected):
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
@@ -193,16 +193,23 @@ def fit_chain(
     speaks = n1 * total > n * total1
     best = counts.where(speaks).select("feature", g.alias("g")).where(F.col("g") >= MIN_GAIN).orderBy(F.desc("g"), "feature").limit(features)
     chosen = [r["feature"] for r in best.collect()]  # at most ``features`` rows
-    where = {f: i for i, f in enumerate(chosen)}
-    at = {r["id"]: i for i, r in enumerate(rows)}
-    lookup = docs.sparkSession.createDataFrame(list(where.items()) or [("", -1)], "feature string, col int")
-    hits = present.join(F.broadcast(lookup), "feature").select("id", "col").toPandas()  # bounded by the sample and ``features``
-    r_at = hits["id"].map(at).to_numpy(dtype=np.int64)
-    c_at = hits["col"].to_numpy(dtype=np.int64)
-    order = np.lexsort((c_at, r_at))
-    y = np.array([[r[c] for c in categories] for r in rows])
-    weight = np.array([1.0 / r["share"] for r in rows])
-    return fit_chain_arrays(r_at[order], c_at[order], y, weight, categories, chosen)[0]
+    lookup = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(chosen)], "feature string, at int")
+    hits = present.join(F.broadcast(lookup), "feature").groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("hits"))
+    rows = sample.select("id", "share", *categories).join(hits, "id", "left").orderBy("id").repartition(1)
+    names = list(categories)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # one task, which holds at most 2 * per_class rows of at most ``features`` numbers
+        all_ = pd.concat(list(batches)).sort_values("id")
+        of = [h if h is not None else [] for h in all_["hits"]]
+        at = np.repeat(np.arange(len(of)), np.array([len(h) for h in of], dtype=np.int64))
+        cols = np.concatenate([np.asarray(h, dtype=np.int64) for h in of])
+        y, weight = all_[names].to_numpy(dtype=float), 1.0 / all_["share"].to_numpy(dtype=float)
+        chain, _ = fit_chain_arrays(at, cols, y, weight, names, chosen)
+        yield pd.DataFrame({"at": range(len(names)), "weights": [m.weights for m in chain.models], "bias": [m.bias for m in chain.models]})
+
+    models = rows.mapInPandas(train, "at int, weights array<double>, bias double").orderBy("at").collect()
+    return Chain(names, chosen, [Linear(np.array(m["weights"], dtype=float), m["bias"]) for m in models])
 
 
 def _batch_probabilities(model: Chain, where: dict[str, int], texts: pa.Array) -> np.ndarray:
