@@ -119,10 +119,9 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, words: int = WORDS, frequent: int = FREQUENT) -> Vocabulary:
     """The bounded part of the counts that every task gets: ``frequent`` tokens and the class totals."""
-    top = most_frequent(counts, "c", frequent, "token").toPandas()  # at most ``frequent`` rows
-    top = top.sort_values(["c", "token"], ascending=[False, True], kind="stable")
-    tokens = [bytes(t) for t in top["token"]]
-    known = dict(zip(tokens, top["c"].tolist()))
+    top = most_frequent(counts, "c", frequent, "token").select("token", "c").toArrow()  # at most ``frequent`` rows
+    known = dict(sorted(zip(top["token"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0])))
+    tokens = list(known)
     own = [END, *[t for t in tokens if t != END][: words - 1]]
     own_rows = counts.sparkSession.createDataFrame([(bytearray(t),) for t in own], "token binary")
     ending = F.crc32(F.substring("token", -ENDING_BYTES, ENDING_BYTES)) % ENDINGS
@@ -211,8 +210,20 @@ def train(pairs: np.ndarray, n: np.ndarray, size: int, dims: int = SIZE, noise:
 def fit(counts: DataFrame, texts: DataFrame, words: int = WORDS, frequent: int = FREQUENT) -> tuple[Vocabulary, LogBilinear]:
     """Vocabulary and model from the stored counts and the training texts (one text column)."""
     v = vocabulary(counts, words, frequent)
-    pairs = class_pairs(texts, texts.sparkSession.sparkContext.broadcast(v)).toPandas()  # at most the square of the classes
-    return v, train(pairs["pair"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(), v.size)
+    pairs = class_pairs(texts, texts.sparkSession.sparkContext.broadcast(v))
+    size = v.size
+
+    def one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # at most the square of the classes, whatever the number of texts
+        found = pa.Table.from_batches(list(batches), schema=pa.schema([("pair", pa.int32()), ("n", pa.int64())]))
+        m = train(found["pair"].to_numpy().astype(np.int64), found["n"].to_numpy(), size)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.r, m.c, m.b)], ["r", "c", "b"])
+
+    row = pairs.repartition(1).mapInArrow(one_task, "r binary, c binary, b binary").first()
+    if row is None:  # no training text
+        return v, train(np.empty(0, dtype=np.int64), np.empty(0), size)
+    r, c, b = (np.frombuffer(bytes(x), dtype=np.float32) for x in row)
+    return v, LogBilinear(r.reshape(size, -1), c.reshape(-1, r.size // size), b)
 
 
 def _partly_scored(docs: DataFrame, id_col: str, text_col: str, v: Vocabulary, model: LogBilinear) -> DataFrame:
