@@ -13,6 +13,7 @@ insult do not excuse it.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ FOLDS = 4
 STEPS = 150
 RIDGE = 0.02
 THRESHOLD = 0.5
+#: Features that a task counts before it sends them on.
+FLUSH = 400_000
 PREFIXES = (4, 5, 6)
 STRIP = ".,;:!?\"'()[]{}<>#$%&*|-_/\\"
 
@@ -121,16 +124,47 @@ def fit_chain_arrays(
     return Chain(list(categories), list(features), models), held
 
 
-def _with_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, feature): the distinct features of every document."""
+def _feature_counts(sample: DataFrame, last: str) -> DataFrame:
+    """(feature, n, n1): texts with the feature, and those of them in the last category; counted in the task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: Counter = Counter()
+        positive: Counter = Counter()
+
+        def out():
+            counts = [list(every.values()), [positive[f] for f in every]]
+            return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), *[pa.array(c, pa.int64()) for c in counts]], ["feature", "n", "n1"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                found = sorted(text_features(batch.column(1)[i].as_py() or ""))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), pa.int64()), pa.array(found, pa.string())], ["id", "feature"])
+                found = text_features(batch.column(1)[i].as_py() or "")
+                every.update(found)
+                if batch.column(0)[i].as_py() == 1.0:
+                    positive.update(found)
+                if len(every) > FLUSH:
+                    yield out()
+                    every.clear()
+                    positive.clear()
+        yield out()
+
+    rows = sample.select(F.col(last), F.col("text")).mapInArrow(run, "feature string, n long, n1 long")
+    return rows.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+
+
+def _with_hits(sample: DataFrame, categories: Sequence[str], chosen: Sequence[str]) -> DataFrame:
+    """(id, share, categories..., hits): positions of the chosen features that every text has."""
+    where = {f: i for i, f in enumerate(chosen)}
+    kept = ["id", "share", *categories]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(kept))
+            hits = [sorted(where[f] for f in text_features(texts[i].as_py() or "") if f in where) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(hits, pa.list_(pa.int32()))], [*kept, "hits"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "id long, feature string")
+    numbers = ", ".join(f"`{c}` double" for c in kept[1:])
+    frame = sample.select("id", *[F.col(c).cast("double").alias(c) for c in kept[1:]], "text")
+    return frame.mapInArrow(run, f"id long, {numbers}, hits array<int>")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], per_class: int, id_col: str, text_col: str) -> DataFrame:
@@ -178,24 +212,20 @@ def fit_chain(
     size = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(last).alias("n1")).first()
     if not size["n"]:
         return Chain(list(categories), [], [Linear(np.zeros(j), -20.0) for j in range(len(categories))])
-    present = store(_with_features(sample, "id", "text"))
-    y_last = F.broadcast(sample.select("id", F.col(last).alias("y")))
-    counts = present.join(y_last, "id").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).where(F.col("n") >= min_docs)
+    counts = store(_feature_counts(sample, last).where(F.col("n") >= min_docs))
     total, total1 = float(size["n"]), float(size["n1"])
 
     def part(observed, expected):
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
 
-    n, n1 = F.col("n").cast("double"), F.col("n1")
+    n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     rest = max(total - total1, 1e-9)
     table = [(n1, n * (total1 / total)), (n - n1, n * (rest / total)), (total1 - n1, (total - n) * (total1 / total)), (rest - (n - n1), (total - n) * (rest / total))]
     g = sum((part(o, F.greatest(e, F.lit(1e-9))) for o, e in table[1:]), part(table[0][0], F.greatest(table[0][1], F.lit(1e-9))))
     speaks = n1 * total > n * total1
     best = counts.where(speaks).select("feature", g.alias("g")).where(F.col("g") >= MIN_GAIN).orderBy(F.desc("g"), "feature").limit(features)
     chosen = [r["feature"] for r in best.collect()]  # at most ``features`` rows
-    lookup = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(chosen)], "feature string, at int")
-    hits = present.join(F.broadcast(lookup), "feature").groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("hits"))
-    rows = sample.select("id", "share", *categories).join(hits, "id", "left").orderBy("id").repartition(1)
+    rows = _with_hits(sample, categories, chosen).repartition(1)
     names = list(categories)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
