@@ -3,11 +3,13 @@
 Equal vectors are one class with a count. Classes are dealt to shards by hash; each shard is one
 task, which first reads its own vectors and builds its graph, then streams all query vectors
 through it in batches, so it holds one shard and one batch at a time. A query whose whole beam
-lies within the threshold is searched again with a wider one, and an audit compares a part of
-every batch with a brute-force search of the shard: below the wanted recall the shard's beam is
-doubled and the batch searched again, until the beam is the shard.
+lies within the threshold is searched again with a wider one. An audit compares a part of every
+batch with the whole shard: when the recall of any audited query, itself left out, is below the
+wanted one, the shard's beam is doubled and the batch searched again. What the widest beam does
+not settle is compared with the whole shard by block matrix products: queries whose beam is
+still full or ran out of reachable nodes, and from a failed audit on all queries of the shard.
 
-Candidates are verified by cosine in double precision. A task sends counts of links and a
+Candidates near the threshold are verified by cosine in double precision. A task sends counts of links and a
 spanning forest of the links it saw, never all pairs, and components are united from those.
 """
 
@@ -31,6 +33,10 @@ BEAM = 16
 RECALL = 0.99
 AUDIT_EVERY = 8
 QUERIES = 2_048
+#: Beyond this beam the whole shard is compared, which costs less.
+WIDEST = 256
+#: Cells of a block of similarities.
+CELLS = 4_000_000
 #: Single precision is off by less than this.
 MARGIN = 1e-4
 
@@ -52,61 +58,103 @@ class _Shard:
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, threshold: float, beam: int, recall: float):
         self.ids, self.copies, self.x = ids, copies, vectors
-        self.graph = Hnsw(vectors.astype(np.float32))
+        self.x32 = vectors.astype(np.float32)
+        self.graph = Hnsw(self.x32)
         self.parent = np.arange(len(ids))
         self.threshold, self.beam, self.recall = threshold, beam, recall
+        self.exact = False
+
+    def _roots(self, nodes: np.ndarray) -> np.ndarray:
+        """Root of every node, with the paths made shorter."""
+        root = self.parent[nodes]
+        while (self.parent[root] != root).any():
+            root = self.parent[root]
+        self.parent[nodes] = root
+        return root
+
+    def _linked(self, ids: np.ndarray, q: np.ndarray, rows: np.ndarray, nodes: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidate positions those that link, without a query itself."""
+        near = (sims >= self.threshold + MARGIN) & (ids[rows] != self.ids[nodes])
+        close = np.nonzero((np.abs(sims - self.threshold) < MARGIN) & (ids[rows] != self.ids[nodes]))[0]
+        step = max(1, CELLS // self.x.shape[1])
+        for at in range(0, len(close), step):
+            some = close[at : at + step]
+            near[some] = np.einsum("ij,ij->i", q[rows[some]], self.x[nodes[some]]) >= self.threshold
+        return rows[near], nodes[near]
 
-    def _root(self, a: int) -> int:
-        while self.parent[a] != a:
-            self.parent[a] = self.parent[self.parent[a]]
-            a = int(self.parent[a])
-        return a
-
-    def _candidates(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) positions that the graph holds to be near."""
-        rows, nodes, open_, beam = [], [], np.arange(len(q)), self.beam
+    def _compare(self, ids: np.ndarray, q: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of the ``asked`` queries with the whole shard, by blocks of queries in order."""
+        step = max(1, CELLS // len(self.ids))
+        for at in range(0, len(asked), step):
+            some = asked[at : at + step]
+            sims = q[some].astype(np.float32) @ self.x32.T
+            r, c = np.nonzero(sims >= self.threshold - MARGIN)
+            yield self._linked(ids, q, some[r], c, sims[r, c])
+
+    def _candidates(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) positions that the graph holds to be near, their similarities, and the queries it cannot settle."""
+        rows, nodes, near_sims, unsettled, open_, beam = [], [], [], [], np.arange(len(q)), self.beam
         while len(open_):
             wide = min(beam, len(self.ids))
             found, sims = self.graph.search(q[open_], wide)
             near = (found >= 0) & (sims >= self.threshold - MARGIN)
-            # a full beam may hide more; at the size of the shard it cannot
+            # an empty slot means that the walk met no more nodes, though the shard has more
+            lost = (found < 0).any(axis=1)
             full = near.all(axis=1) & (wide < len(self.ids))
-            r, c = np.nonzero(near & ~full[:, None])
+            r, c = np.nonzero(near & ~(full | lost)[:, None])
             rows.append(open_[r])
             nodes.append(found[r, c])
-            open_, beam = open_[full], 4 * beam
-        return np.concatenate(rows), np.concatenate(nodes)
-
-    def links(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Verified (query, node) positions of a batch of queries, without a query itself."""
-        q32 = q.astype(np.float32)
+            near_sims.append(sims[r, c])
+            if 4 * beam > WIDEST:
+                lost |= full
+            unsettled.append(open_[lost])
+            open_, beam = open_[full & ~lost], 4 * beam
+        return tuple(np.concatenate(x) for x in (rows, nodes, near_sims, unsettled))
+
+    def links(self, ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Verified (query, node) positions of a batch of queries, without a query itself; all of a query come together."""
         audit = np.arange(0, len(q), AUDIT_EVERY)
-        truth = q32[audit] @ self.graph.x.T >= self.threshold + MARGIN
+        if self.exact:
+            yield from self._compare(ids, q, np.arange(len(q)))
+            return
+        true = np.zeros(len(q), dtype=np.int64)
+        for rows, nodes in self._compare(ids, q, audit):
+            true += np.bincount(rows, minlength=len(q))
+            yield rows, nodes
+        q32 = q.astype(np.float32)
+        others = np.setdiff1d(np.arange(len(q)), audit)
         while True:
-            rows, nodes = self._candidates(q32)
-            seen = np.bincount(rows, minlength=len(q))[audit]
-            if np.minimum(seen, truth.sum(axis=1)).sum() >= self.recall * truth.sum() or self.beam >= len(self.ids):
+            rows, nodes, sims, unsettled = self._candidates(q32)
+            rows, nodes = self._linked(ids, q, rows, nodes, sims)
+            seen = np.bincount(rows, minlength=len(q))
+            judged = np.setdiff1d(audit, unsettled)
+            if (seen[judged] >= self.recall * true[judged]).all():
                 break
+            if 2 * self.beam > WIDEST:
+                # the graph hides links from any beam
+                self.exact = True
+                yield from self._compare(ids, q, others)
+                return
             self.beam *= 2
-        near = np.einsum("ij,ij->i", q[rows], self.x[nodes]) >= self.threshold
-        near &= ids[rows] != self.ids[nodes]
-        return rows[near], nodes[near]
+        known = np.zeros(len(q), dtype=bool)
+        known[audit] = True
+        keep = ~known[rows]
+        yield rows[keep], nodes[keep]
+        yield from self._compare(ids, q, np.sort(unsettled[~known[unsettled]]))
 
     def report(self, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         """(u, v, links): a spanning forest of the batch's links; a query's count comes with its first edge."""
-        rows, nodes = self.links(ids, q)
-        order = np.argsort(rows, kind="stable")
-        rows, nodes = rows[order], nodes[order]
-        count = np.bincount(rows, weights=self.copies[nodes], minlength=len(q)).astype(np.int64)
-        u, v, n, last, root = [], [], [], -1, -1
-        for r, c in zip(rows.tolist(), nodes.tolist()):
-            mine = self._root(c)
-            if r != last:
-                last, root = r, mine
-                u.append(ids[r]), v.append(self.ids[c]), n.append(count[r])
-            elif mine != root:
-                self.parent[mine] = root
-                u.append(ids[r]), v.append(self.ids[c]), n.append(0)
+        u, v, n = [], [], []
+        for rows, nodes in self.links(ids, q):
+            order = np.argsort(rows, kind="stable")
+            rows, nodes = rows[order], nodes[order]
+            count = np.bincount(rows, weights=self.copies[nodes], minlength=len(q)).astype(np.int64)
+            asked, start = np.unique(rows, return_index=True)
+            for r, near in zip(asked.tolist(), np.split(nodes, start[1:])):
+                roots, first = np.unique(self._roots(near), return_index=True)
+                self.parent[roots] = roots[0]
+                for k, c in enumerate(near[first].tolist()):
+                    u.append(ids[r]), v.append(self.ids[c]), n.append(0 if k else count[r])
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, n)], ["u", "v", "links"])
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 
 from panelforge.llm.hnsw import Hnsw
-from panelforge.llm.vectors import near_vectors, unit
+from panelforge.llm.vectors import _Shard, near_vectors, unit
 
 
 def brute(rows, threshold=0.95):
@@ -56,3 +56,45 @@ def test_odd_vectors_link_with_nothing(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute([r[:2] for r in rows])
     assert near_vectors(df.where("false")).count() == 0
     assert near_vectors(df.where("vec_id = 3")).first()["n_links"] == 0
+
+
+def shard_links(shard, x):
+    """(query, node) positions that the shard reports for its own vectors."""
+    out = shard.links(np.arange(len(x)), x)
+    pairs = [out] if isinstance(out, tuple) else list(out)
+    return {(int(r), int(c)) for rows, nodes in pairs for r, c in zip(rows, nodes)}
+
+
+def true_links(x, threshold=0.95):
+    return {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= threshold) if a != b}
+
+
+def test_links_that_no_beam_reaches_are_found():
+    x = unit(clustered(400, 16))
+    shard = _Shard(np.arange(400), np.ones(400, dtype=int), x, 0.95, 4, 0.99)
+    shard.graph.layers[0][:, 2:] = -1  # nearly all nodes are cut off
+    assert shard_links(shard, x) == true_links(x)
+
+
+def test_a_hot_group_does_not_cover_for_a_missed_link():
+    rng = np.random.default_rng(2)
+    hot = np.tile(rng.standard_normal(16), (240, 1)) + 0.01 * rng.standard_normal((240, 16))
+    rest = rng.standard_normal((160, 16))
+    rest[1] = rest[0] + 0.01 * rng.standard_normal(16)
+    x = unit(np.concatenate([rest, hot]))
+    shard = _Shard(np.arange(400), np.ones(400, dtype=int), x, 0.95, 4, 0.99)
+    lost = int(np.nonzero(shard.graph.order == 1)[0][0])
+    assert lost >= shard.graph.sizes[-1]
+    shard.graph.layers[0][shard.graph.layers[0] == lost] = -1  # no way leads to node 1, and query 0 is audited
+    assert shard_links(shard, x) == true_links(x)
+
+
+def test_a_report_is_a_spanning_forest_with_counts():
+    x = unit(clustered(300, 16))
+    copies = np.arange(300) % 3 + 1
+    got = _Shard(np.arange(300), copies, x, 0.95, 4, 0.99).report(np.arange(300), x).to_pydict()
+    want = np.zeros(300, dtype=int)
+    for a, b in true_links(x):
+        want[a] += copies[b]
+    assert (np.bincount(got["u"], weights=got["links"], minlength=300) == want).all()
+    assert set(zip(got["u"], got["v"])) <= true_links(x)
