@@ -103,7 +103,9 @@ ORACLES["m6_dbscan_embeddings"] = f"""WITH RECURSIVE {points_sql()}, {NEAR.forma
     SELECT vec_id, coalesce(lab.label, edge.label, -1) AS "Cluster"
     FROM pts LEFT JOIN lab ON vec_id = lab.node LEFT JOIN edge ON vec_id = edge.node"""
 
-QUERIES["m7_ward_embeddings"] = lambda s, d: cluster.agglomerative(points(s, d), XS, "vec_id", 4).select("vec_id", "Cluster")
+QUERIES["m7_ward_embeddings"] = lambda s, d: cluster.agglomerative(
+    points(s, d), XS, "vec_id", 4, rounds=True
+).select("vec_id", "Cluster")
 
 
 QUERIES["m7_ward_micro_embeddings"] = lambda s, d: cluster.agglomerative(points(s, d), XS, "vec_id", 4, micro=64).select(
@@ -113,7 +115,7 @@ QUERIES["m7_ward_micro_embeddings"] = lambda s, d: cluster.agglomerative(points(
 
 def _dispatched(s, d):
     pts = points(s, d)
-    params = {"kmeans": {"k": 4}, "dbscan": {"eps": EPS, "min_samples": 5}, "agglomerative": {"k": 4}}
+    params = {"kmeans": {"k": 4}, "dbscan": {"eps": EPS, "min_samples": 5}, "agglomerative": {"k": 4, "rounds": True}}
     parts = [
         cluster.cluster(pts, XS, m, "vec_id", **p).select(F.lit(m).alias("method"), "vec_id", F.col("Cluster").cast("long").alias("Cluster"))
         for m, p in params.items()

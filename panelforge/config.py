@@ -129,7 +129,7 @@ class Density:
 
 @dataclass(frozen=True)
 class Partition:
-    """Number of clusters of k-means and of the Ward tree; ``micro`` builds the tree over micro-clusters."""
+    """Number of clusters of k-means and of the Ward tree; exact in rounds, or with ``micro`` over micro-clusters."""
 
     clusters: int = 4
     micro: int | None = None
@@ -177,4 +177,5 @@ class ModelSettings:
         if method == "dbscan":
             return {"eps": self.density.radius, "min_samples": self.density.rows}
         found = {"k": self.partition.clusters, "seed": self.partition.seed}
-        return found | {"micro": self.partition.micro} if method == "agglomerative" else found
+        ward = {"micro": self.partition.micro, "rounds": self.partition.micro is None}
+        return found | ward if method == "agglomerative" else found

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import row_mean, row_std
+from panelforge.config import ModelSettings
 from panelforge.operators import clean, cluster, evaluate, forest, neighbors, outliers, shape
 
 NAN = float("nan")
@@ -102,6 +103,16 @@ def test_ward_is_never_chosen_by_size(spark, monkeypatch):
     assert cluster.agglomerative(df, ["a", "b"], "id", 3, micro=10).select("Cluster").distinct().count() == 3
 
 
+def test_ward_in_rounds_is_the_exact_tree_at_any_size(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(90, 3)).round(4)
+    df = spark.createDataFrame([(i, *r, float(i % 2)) for i, r in enumerate(x.tolist() + x[:5].tolist())], "id long, a double, b double, c double, odd double")
+    want = {r["id"]: r["Cluster"] for r in cluster.agglomerative(df, ["a", "b", "c"], "id", 4).collect()}
+    monkeypatch.setattr(cluster, "EXACT_POINTS", 12)
+    methods = ModelSettings().arguments("agglomerative")
+    got = {r["id"]: r["Cluster"] for r in cluster.cluster(df, ["a", "b", "c"], "agglomerative", "id", **methods).collect()}
+    assert got == want and len(got) == 95
+
+
 def test_forest_rows_follow_one_rule(spark):
     df = spark.range(2000).select("id", (F.col("id") % 17).cast("double").alias("x"))
     drawn = forest.tree_samples(df, "id", ["x"], 2000, 8, 32, 1).groupBy("tree").count().collect()
