@@ -40,6 +40,15 @@ def test_a_template_of_blocked_pages_is_rejected(spark):
     assert got["http://shop.com/about/us"]["template"] == "/*/*/$"
 
 
+def test_a_small_labelled_branch_does_not_decide_for_others(spark):
+    rows = [f"http://big.com/en/{i}" for i in range(600)] + [f"http://big.com/de/{i}" for i in range(10)] + ["http://big.com/fr/1"]
+    rows += [f"http://lone.com/en/{i}" for i in range(60)] + [f"http://lone.com/de/{i}" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = [(rows[r["page_id"]], r["template"], r["verdict"]) for r in judge_urls(df, RULES).collect()]
+    assert {v for u, _, v in got if "/en/" in u} == {"allow"}
+    assert {(t, v) for u, t, v in got if "/de/" in u} == {("/de/*/$", "block")}
+
+
 def test_licence_sentences_and_rules(spark):
     texts = [
         "Intro | table\nLicensed under the Apache License,\n Version 2.0.\nBody",
