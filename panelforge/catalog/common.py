@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,16 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import col
 from ..operators.clean import clean_panel
 from ..operators.features import build_features
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.panel import company_panel
+from ..sources.tables import StageStore
 from ..sources.tables import read_table as table
 
-__all__ = ["table", "r", "rounded", "cleaned_panel", "feature_frame", "long_sql", "points", "blocks", "XS", "BLOCKS"]
+__all__ = ["table", "r", "rounded", "cleaned_panel", "feature_frame", "long_sql", "points", "scratch_store", "XS"]
 
 EMBED_DIMS = 64
-BLOCK = 16
 XS = [f"x{i + 1}" for i in range(EMBED_DIMS)]
-BLOCKS = [f"x{i + 1}" for i in range(EMBED_DIMS // BLOCK)]
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
@@ -41,6 +41,12 @@ def feature_frame(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(build_features(cleaned_panel(spark, d)))
 
 
+def scratch_store(spark: SparkSession, name: str) -> StageStore:
+    """Stages of one call, in the folder that the cluster shares."""
+    ensure_checkpoint_dir(spark)
+    return StageStore(spark, f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}", name)
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """(vec_id, label, x1..x64): every coordinate of every embedding."""
     return table(spark, d, "embeddings").select(
@@ -53,27 +59,6 @@ def points_sql() -> str:
     return f"pts AS (SELECT vec_id, label, {xs} FROM embeddings)"
 
 
-def blocks(spark: SparkSession, d: str, block: int = BLOCK) -> DataFrame:
-    """(vec_id, label, x1..): sums of ``block`` coordinates each, all coordinates taken; a narrow
-    frame for operators whose result has a row per pair of columns."""
-    x = F.col("embedding")
-
-    def total(start: int) -> Column:
-        out = x[start].cast("double")
-        for i in range(start + 1, start + block):
-            out = out + x[i].cast("double")
-        return out
-
-    return table(spark, d, "embeddings").select(
-        "vec_id", "label", *[total(s).alias(f"x{k + 1}") for k, s in enumerate(range(0, EMBED_DIMS, block))]
-    )
-
-
-def blocks_sql(block: int = BLOCK) -> str:
-    sums = [" + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(s, s + block)) for s in range(0, EMBED_DIMS, block)]
-    return "pts AS (SELECT vec_id, label, " + ", ".join(f"{t} AS x{k + 1}" for k, t in enumerate(sums)) + " FROM embeddings)"
-
-
 def long_sql(source: str, cols: Sequence[str]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST("{c}" AS DOUBLE) AS value FROM {source}""" for c in cols

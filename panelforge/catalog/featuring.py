@@ -86,9 +86,6 @@ def _grouped(pick):
     return run
 
 
-
-
-
 def _columns_sql(pattern: str) -> str:
     names = [n for n in MEANS + GROWTHS + VOLS + RATIOS if re.search(pattern, n)]
     return FEATURES + f", picked AS (SELECT row_id, COLUMNS('{pattern}') FROM features) " + _select_sql(names, "picked")
@@ -111,13 +108,11 @@ ORACLES["f13_group_growth"] = _columns_sql("^growth_[^M]")
 QUERIES["f14_without_volatility"] = _grouped(lambda g, _: groups.without(g["continuous"], g["vol"]))
 ORACLES["f14_without_volatility"] = _columns_sql("^(growth_)?(TAsset|Leverage|EBIT|Turnover|ROE|PLTax)_mean$|^fur_")
 
-QUERIES["f0_panel_long_form"] = lambda s, d: rounded(
-    to_long(company_panel(s, d), ["TAsset", "EBIT"]), ["TAsset", "EBIT"], 2
-)
+QUERIES["f0_panel_long_form"] = lambda s, d: rounded(to_long(company_panel(s, d), METRICS), METRICS[1:], 4)
 ORACLES["f0_panel_long_form"] = (
     PANEL
     + " UNION ALL ".join(
-        f""" SELECT row_id, '{y}' AS year, round("TAsset.{y}", 2) + 0.0 AS "TAsset", round("EBIT.{y}", 2) + 0.0 AS "EBIT" FROM panel"""
+        f""" SELECT row_id, '{y}' AS year, "MScore.{y}" AS "MScore", {', '.join(f'round("{m}.{y}", 4) + 0.0 AS "{m}"' for m in METRICS[1:])} FROM panel"""
         for y in YEARS
     )
 )

@@ -6,17 +6,19 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..config import Density, ModelSettings
-from ..operators import cluster, dbscan, density, evaluate, features
+from ..config import Density, ModelSettings, Partition
+from ..operators import cluster, dbscan, density, evaluate, features, ward
 from ..operators import reduce as components
 from ..session import cut_lineage
-from .common import XS, blocks, blocks_sql, cleaned_panel, feature_frame, points, points_sql, r, rounded, table
+from .common import XS, cleaned_panel, feature_frame, points, points_sql, r, rounded, table
 from .outlying import EPS, NEAR
 from .panel_sql import FEATURES
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+#: Points of a leaf in the queries that must give the same rows from many leaves.
+SPLIT_ROWS = 40
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 QUERIES["m1_variance_filter_lineitem"] = lambda s, d: components.variance_filter(table(s, d, "lineitem"), LINE, 0.1)
@@ -44,19 +46,20 @@ PCA2 = """mom AS (SELECT avg({a}) AS ma, avg({b}) AS mb, var_samp({a}) AS va, va
                    CASE WHEN abs(w) > abs(u) THEN sign(-w) ELSE sign(u) END AS s2 FROM vec)"""
 
 
-HALF = 32
-
-
 def _pca(s, d):
-    return components.fit_components(blocks(s, d, HALF), ["x1", "x2"], 2)
+    return components.fit_components(points(s, d), XS, 2)
 
 
 QUERIES["m3_component_scores_embeddings"] = lambda s, d: rounded(
-    _pca(s, d).scores(blocks(s, d, HALF), ["vec_id"]), ["PC1", "PC2"]
+    _pca(s, d).scores(points(s, d), ["vec_id"]), ["PC1", "PC2"]
+)
+PAIR = ["c_acctbal", "c_nationkey"]
+QUERIES["m3_component_scores_customer"] = lambda s, d: rounded(
+    components.fit_components(table(s, d, "customer"), PAIR, 2).scores(table(s, d, "customer"), ["c_custkey"]), ["PC1", "PC2"], 3
 )
-ORACLES["m3_component_scores_embeddings"] = f"""WITH {blocks_sql(HALF)}, {PCA2.format(a='x1', b='x2', t='pts')}
-    SELECT vec_id, round(s1 * ((x1 - ma) * u + (x2 - mb) * w), 6) + 0.0 AS "PC1",
-           round(s2 * ((x1 - ma) * -w + (x2 - mb) * u), 6) + 0.0 AS "PC2" FROM pts, sgn"""
+ORACLES["m3_component_scores_customer"] = f"""WITH {PCA2.format(a=PAIR[0], b=PAIR[1], t='customer')}
+    SELECT c_custkey, round(s1 * (({PAIR[0]} - ma) * u + ({PAIR[1]} - mb) * w), 3) + 0.0 AS "PC1",
+           round(s2 * (({PAIR[0]} - ma) * -w + ({PAIR[1]} - mb) * u), 3) + 0.0 AS "PC2" FROM customer, sgn"""
 QUERIES["m4_explained_variance_lineitem"] = lambda s, d: rounded(
     components.fit_components(table(s, d, "lineitem"), ["l_quantity", "l_discount"], 2).explained(s), ["ratio"]
 )
@@ -90,6 +93,32 @@ ORACLES["m5_nearest_centre_embeddings"] = f"""WITH {points_sql()},
         ORDER BY {' + '.join(f'({x} - c{x}) * ({x} - c{x})' for x in XS)}, i) AS rn FROM pts, cen) WHERE rn = 1"""
 QUERIES["m5_kmeans_embeddings"] = lambda s, d: cluster.kmeans(points(s, d), XS, 4)[0].select("vec_id", "Cluster")
 
+STARTS, LLOYD_ROUNDS = 4, 3
+
+
+def _lloyd(s, d):
+    pts = points(s, d)
+    start = pts.orderBy("vec_id").limit(STARTS).select(*XS).collect()
+    labelled, _ = cluster.lloyd_rounds(pts, XS, [list(row) for row in start], LLOYD_ROUNDS)
+    return labelled.select("vec_id", F.col("Cluster").cast("long").alias("Cluster"))
+
+
+def _lloyd_sql() -> str:
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+    c0 AS (SELECT dense_rank() OVER (ORDER BY vec_id) - 1 AS c, k, x AS m FROM v
+        WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT {STARTS}))"""]
+    for i in range(LLOYD_ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, c FROM (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY s, c) AS rn
+        FROM (SELECT vec_id, c, sum((x - m) * (x - m)) AS s FROM v JOIN c{i} USING (k) GROUP BY ALL)) WHERE rn = 1)""")
+        if i < LLOYD_ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, k, coalesce(f, m) AS m FROM c{i}
+        LEFT JOIN (SELECT c, k, avg(x) AS f FROM a{i} JOIN v USING (vec_id) GROUP BY ALL) USING (c, k))""")
+    return "WITH " + ",\n    ".join(steps) + f""" SELECT vec_id, c AS "Cluster" FROM a{LLOYD_ROUNDS}"""
+
+
+QUERIES["m5_lloyd_rounds_embeddings"] = _lloyd
+ORACLES["m5_lloyd_rounds_embeddings"] = _lloyd_sql()
+
 # --- density ------------------------------------------------------------------------
 QUERIES["m6_dbscan_embeddings"] = lambda s, d: dbscan.dbscan(points(s, d), "vec_id", XS, EPS, 5).select(
     "vec_id", "Cluster"
@@ -103,11 +132,43 @@ ORACLES["m6_dbscan_embeddings"] = f"""WITH RECURSIVE {points_sql()}, {NEAR.forma
     SELECT vec_id, coalesce(lab.label, edge.label, -1) AS "Cluster"
     FROM pts LEFT JOIN lab ON vec_id = lab.node LEFT JOIN edge ON vec_id = edge.node"""
 
+QUERIES["m6_dbscan_split_embeddings"] = lambda s, d: dbscan.dbscan(
+    points(s, d), "vec_id", XS, EPS, 5, cell_rows=SPLIT_ROWS
+).select("vec_id", "Cluster")
+ORACLES["m6_dbscan_split_embeddings"] = ORACLES["m6_dbscan_embeddings"]
+
+#: Groups of a cell in the registered Ward queries, few enough that cells must work together.
+WARD_CELL = 400
 QUERIES["m7_ward_embeddings"] = lambda s, d: cluster.agglomerative(
-    points(s, d), XS, "vec_id", 4, rounds=True
+    points(s, d), XS, "vec_id", 4, rounds=True, cell_rows=WARD_CELL
 ).select("vec_id", "Cluster")
 
 
+def _ward_of_means(s, d):
+    means = points(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("w"), *[F.avg(x).alias(f"x{i}") for i, x in enumerate(XS)])
+    groups = cut_lineage(means.withColumn("id", F.col("label").cast("long")))
+    return ward.ward_components(groups, len(XS), 4, cell_rows=8).select(F.col("id").alias("label"), F.col("component").alias("group"))
+
+
+def _ward_means_sql(labels: int = 10, k: int = 4) -> str:
+    """Merge after merge of the label means, each the pair with the least Ward height."""
+    steps = [f"""g0 AS (SELECT label::BIGINT AS id, n::DOUBLE AS w, list(m ORDER BY k) AS x FROM (
+        SELECT label, k, avg(x) AS m, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)
+        GROUP BY ALL) GROUP BY ALL), l0 AS (SELECT id, id AS root FROM g0)"""]
+    for i in range(labels - k):
+        steps.append(f"""b{i} AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.w AS wa, b.w AS wb, a.x AS xa, b.x AS xb FROM g{i} a JOIN g{i} b ON a.id < b.id
+        ORDER BY 2 * a.w * b.w / (a.w + b.w) * pow(list_distance(a.x, b.x), 2), a.id, b.id LIMIT 1),
+    g{i + 1} AS MATERIALIZED (SELECT id, w, x FROM g{i}, b{i} WHERE id NOT IN (a, b) UNION ALL
+        SELECT a, wa + wb, list_transform(list_zip(xa, xb), lambda p: (wa * p[1] + wb * p[2]) / (wa + wb)) FROM b{i}),
+    l{i + 1} AS (SELECT id, CASE WHEN root = b THEN a ELSE root END AS root FROM l{i}, b{i})""")
+    last = labels - k
+    return "WITH " + ",\n    ".join(steps) + f""" SELECT id AS label, min(id) OVER (PARTITION BY root) AS "group" FROM l{last}"""
+
+
+QUERIES["m7_ward_label_means"] = _ward_of_means
+ORACLES["m7_ward_label_means"] = _ward_means_sql()
+
+
 QUERIES["m7_ward_micro_embeddings"] = lambda s, d: cluster.agglomerative(points(s, d), XS, "vec_id", 4, micro=64).select(
     "vec_id", "Cluster"
 )
@@ -115,7 +176,7 @@ QUERIES["m7_ward_micro_embeddings"] = lambda s, d: cluster.agglomerative(points(
 
 def _dispatched(s, d):
     pts = points(s, d)
-    params = {"kmeans": {"k": 4}, "dbscan": {"eps": EPS, "min_samples": 5}, "agglomerative": {"k": 4, "rounds": True}}
+    params = {"kmeans": {"k": 4}, "dbscan": {"eps": EPS, "min_samples": 5}, "agglomerative": {"k": 4, "rounds": True, "cell_rows": WARD_CELL}}
     parts = [
         cluster.cluster(pts, XS, m, "vec_id", **p).select(F.lit(m).alias("method"), "vec_id", F.col("Cluster").cast("long").alias("Cluster"))
         for m, p in params.items()
@@ -161,7 +222,7 @@ ORACLES["m10_davies_bouldin_embeddings"] = f"""WITH {points_sql()},
 def _compared(s, d):
     from ..plans.model import compare_methods
 
-    settings = ModelSettings(density=Density(radius=EPS))
+    settings = ModelSettings(density=Density(radius=EPS), partition=Partition(cell_rows=WARD_CELL))
     pts = cut_lineage(points(s, d).select("vec_id", *XS))
     return compare_methods(pts, XS, "vec_id", settings)[1]
 
@@ -200,13 +261,8 @@ ORACLES["m16_contingency_labels"] = "SELECT quality, toxic, count(*) AS count FR
 
 
 def _cluster_scatter(s, d):
-    scores = rounded(_pca(s, d).scores(blocks(s, d, HALF), ["vec_id", "label"]), ["PC1", "PC2"])
+    scores = rounded(_pca(s, d).scores(points(s, d), ["vec_id", "label"]), ["PC1", "PC2"])
     return density.scatter_sample(scores, ["PC1", "PC2"], "label", "vec_id", 0.25, ["label"])
 
 
 QUERIES["m17_cluster_scatter_embeddings"] = _cluster_scatter
-ORACLES["m17_cluster_scatter_embeddings"] = f"""WITH {blocks_sql(HALF)}, {PCA2.format(a='x1', b='x2', t='pts')},
-    sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) AS rn,
-        count(*) OVER (PARTITION BY label) AS n FROM pts) WHERE rn <= floor(CAST(0.25 AS DOUBLE) * n))
-    SELECT vec_id, label, round(s1 * ((x1 - ma) * u + (x2 - mb) * w), 6) + 0.0 AS "PC1",
-           round(s2 * ((x1 - ma) * -w + (x2 - mb) * u), 6) + 0.0 AS "PC2" FROM sampled, sgn"""

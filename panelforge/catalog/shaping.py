@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import CONTINUOUS, StudySettings
+from ..config import CONTINUOUS, STAGES, StudySettings
 from ..functions import shape as fx
 from ..functions.scalars import col
 from ..operators import power, shape
-from .common import feature_frame, long_sql, r, table
+from .common import feature_frame, long_sql, r, scratch_store, table
 from .panel_sql import FEATURES
 
 QUERIES: dict = {}
@@ -60,6 +60,31 @@ def _grid_sql(long: str, value: str, jac: str, grid) -> str:
 
 
 YJ_JAC = "sign(value) * ln(1.0 + abs(value))"
+
+
+def refined_sql(long: str, value: str, jac: str) -> str:
+    """CTE chain ending in ``fitted(column, lam)``: the coarse grid, then brackets around the best value, each a tenth as wide."""
+    last = power.REFINE_POINTS - 1
+    coarse = ", ".join(f"CAST({g} AS DOUBLE)" for g in power.COARSE_GRID)
+    steps = [f"""vals0 AS MATERIALIZED ({long}),
+    g0 AS (SELECT "column", i - 1 AS i, lam FROM (SELECT DISTINCT "column" FROM vals0),
+        (SELECT unnest([{coarse}]) AS lam, generate_subscripts([{coarse}], 1) AS i))"""]
+    for k in range(power.REFINEMENTS + 1):
+        steps.append(f"""f{k} AS MATERIALIZED (SELECT "column", lam, i FROM (
+        SELECT "column", lam, i, row_number() OVER (PARTITION BY "column" ORDER BY score DESC NULLS LAST, lam) AS rn FROM (
+          SELECT "column", i, lam, CASE WHEN bool_or(y IS NULL) OR var_pop(y) <= 0 THEN NULL
+                 ELSE count(*) * -0.5 * ln(var_pop(y)) + (lam - 1) * sum(j) END AS score
+          FROM (SELECT "column", i, lam, {value} AS y, {jac} AS j FROM vals0 JOIN g{k} USING ("column") WHERE value IS NOT NULL)
+          GROUP BY "column", i, lam)) WHERE rn = 1)""")
+        if k < power.REFINEMENTS:
+            top = len(power.COARSE_GRID) - 1 if k == 0 else last
+            steps.append(f"""g{k + 1} AS MATERIALIZED (SELECT "column", n AS i, lo.lam + n * ((hi.lam - lo.lam) / {last}) AS lam
+        FROM f{k} f JOIN g{k} lo USING ("column") JOIN g{k} hi USING ("column"), range({last + 1}) AS t(n)
+        WHERE lo.i = greatest(f.i - 1, 0) AND hi.i = least(f.i + 1, {top}))""")
+    steps.append(f'fitted AS MATERIALIZED (SELECT "column", lam FROM f{power.REFINEMENTS})')
+    return ",\n    ".join(steps)
+
+
 QUERIES["t4_power_grid_fit_lineitem"] = lambda s, d: _grid_fit(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 ORACLES["t4_power_grid_fit_lineitem"] = _grid_sql(
     long_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), yj_sql("value", "lam"), YJ_JAC, GRID
@@ -73,12 +98,19 @@ ORACLES["t5_box_cox_grid_fit_events"] = _grid_sql(
 )
 
 
-def _fitted(s, d):
-    rows = sorted(power.fit_power(table(s, d, "events"), ["value"]).items())
-    return s.createDataFrame([(c, round(v, 2)) for c, v in rows], "column string, lam double")
+def _fitted(df, method="yeo-johnson"):
+    rows = sorted(power.fit_power(df, ["value"], method).items())
+    return df.sparkSession.createDataFrame([(c, round(v, 2)) for c, v in rows], "column string, lam double")
 
 
-QUERIES["t4_power_refined_fit_events"] = _fitted
+BOX_COX = "CASE WHEN lam = 0 THEN ln(value) WHEN lam * ln(value) < 700 THEN (exp(lam * ln(value)) - 1.0) / lam END"
+FITTED = 'SELECT "column", round(lam, 2) + 0.0 AS lam FROM fitted'
+QUERIES["t4_power_refined_fit_events"] = lambda s, d: _fitted(table(s, d, "events"))
+ORACLES["t4_power_refined_fit_events"] = f"WITH {refined_sql(long_sql('events', ['value']), yj_sql('value', 'lam'), YJ_JAC)} {FITTED}"
+QUERIES["t5_box_cox_refined_fit_events"] = lambda s, d: _fitted(table(s, d, "events").where("value > 0"), "box-cox")
+ORACLES["t5_box_cox_refined_fit_events"] = (
+    f"""WITH {refined_sql("SELECT 'value' AS \"column\", value FROM events WHERE value > 0", BOX_COX, "ln(value)")} {FITTED}"""
+)
 
 
 # --- moments ------------------------------------------------------------------
@@ -133,10 +165,10 @@ QUERIES["d3_shape_report_events"] = lambda s, d: shape.shape_report(
 ORACLES["d3_shape_report_events"] = f"WITH {report_sql(long_sql('events', ['value']), yj_sql('value', str(LAMBDA)))} {REPORT}"
 
 
-def _coarse_report(s, d):
-    """Whole panel, power lambda from the coarse grid."""
+def _report(s, d):
+    """Whole panel, fitted power lambdas."""
     df = shape_input(s, d)
-    return shape.shape_report(df, CONTINUOUS, power.fit_power(df, CONTINUOUS, refinements=0))
+    return shape.shape_report(df, CONTINUOUS, power.fit_power(df, CONTINUOUS))
 
 
 def shape_input(s, d):
@@ -145,13 +177,13 @@ def shape_input(s, d):
     return cut_lineage(feature_frame(s, d).select("row_id", *[col(c) for c in CONTINUOUS]))
 
 
-COARSE_SQL = FEATURES + f""",
+REPORT_SQL = FEATURES + f""",
     long AS ({long_sql('features', CONTINUOUS)}),
-    fitted AS ({_grid_sql('SELECT * FROM long', yj_sql('value', 'lam'), YJ_JAC, power.COARSE_GRID)}),
+    {refined_sql('SELECT * FROM long', yj_sql('value', 'lam'), YJ_JAC)},
     withlam AS (SELECT "column", value, lam FROM long JOIN fitted USING ("column")),
     {report_sql('SELECT "column", value, lam FROM withlam', yj_sql('value', 'lam'))}"""
-QUERIES["d4_shape_analysis_panel"] = _coarse_report
-ORACLES["d4_shape_analysis_panel"] = COARSE_SQL + " " + REPORT
+QUERIES["d4_shape_analysis_panel"] = _report
+ORACLES["d4_shape_analysis_panel"] = REPORT_SQL + " " + REPORT
 
 TABLE = 'SELECT "column", transform, skew_after AS skew, kurt_after AS kurt FROM report'
 QUERIES["d5_transform_table_lineitem"] = lambda s, d: shape.transform_table(
@@ -163,8 +195,8 @@ BEST = """best AS (SELECT "column", transform, skew, kurt FROM (
     SELECT "column", transform, skew_after AS skew, kurt_after AS kurt, row_number() OVER (PARTITION BY "column"
       ORDER BY abs(skew_after) + abs(kurt_after), list_position(['sqrt', 'inv_sqrt', 'inv', 'power'], transform)) AS rn
     FROM report WHERE skew_after IS NOT NULL AND kurt_after IS NOT NULL) WHERE rn = 1)"""
-QUERIES["d6_optimal_transform_panel"] = lambda s, d: shape.optimal_transforms(shape.transform_table(_coarse_report(s, d)))
-ORACLES["d6_optimal_transform_panel"] = COARSE_SQL + ", " + BEST + ' SELECT "column", transform, skew, kurt FROM best'
+QUERIES["d6_optimal_transform_panel"] = lambda s, d: shape.optimal_transforms(shape.transform_table(_report(s, d)))
+ORACLES["d6_optimal_transform_panel"] = REPORT_SQL + ", " + BEST + ' SELECT "column", transform, skew, kurt FROM best'
 QUERIES["d7_transform_map_lineitem"] = lambda s, d: shape.optimal_transforms(
     shape.transform_table(shape.shape_report(table(s, d, "lineitem"), MOMENT_COLS, None, PLAIN)), PLAIN.names()
 )
@@ -172,10 +204,10 @@ ORACLES["d7_transform_map_lineitem"] = (
     f"WITH {report_sql(long_sql('lineitem', MOMENT_COLS))}, {BEST} SELECT \"column\", transform, skew, kurt FROM best"
 )
 QUERIES["d8_above_threshold_panel"] = lambda s, d: shape.above_threshold(
-    shape.optimal_transforms(shape.transform_table(_coarse_report(s, d))), 0.25
+    shape.optimal_transforms(shape.transform_table(_report(s, d))), 0.25
 )
 ORACLES["d8_above_threshold_panel"] = (
-    COARSE_SQL + ", " + BEST + ' SELECT "column", transform, skew, kurt FROM best WHERE (abs(skew) + abs(kurt)) / 2 >= 0.25'
+    REPORT_SQL + ", " + BEST + ' SELECT "column", transform, skew, kurt FROM best WHERE (abs(skew) + abs(kurt)) / 2 >= 0.25'
 )
 
 CHOSEN = {"l_quantity": "sqrt", "l_extendedprice": "inv", "l_discount": "sqrt", "l_tax": "unknown"}
@@ -212,14 +244,12 @@ def _rounds(s, d):
     """Two rounds of analyse, choose, apply on the whole panel; the chosen transforms of each."""
     from functools import reduce
 
-    from ..session import cut_lineage
+    from ..plans.stats import shape_rounds
 
-    shapes, df, maps = StudySettings().shapes, shape_input(s, d), []
-    for i in range(1, shapes.rounds + 1):
-        report = shape.shape_report(df, CONTINUOUS, power.fit_power(df, CONTINUOUS))
-        df, chosen = shape.choose_and_apply(df, shape.transform_table(report), shapes.least)
-        df = cut_lineage(df)
-        maps.append(cut_lineage(chosen).select(F.lit(i).alias("round"), "*"))
+    settings, store = StudySettings(fraction=1.0), scratch_store(s, "d11")
+    df = feature_frame(s, d).select("row_id", "`Sector 1`", *[col(c) for c in CONTINUOUS])
+    shape_rounds(store.save(df, STAGES[1]), CONTINUOUS, "Sector 1", "row_id", settings, store)
+    maps = [store.load(f"transform_map{i}").select(F.lit(i).alias("round"), "*") for i in range(1, settings.shapes.rounds + 1)]
     return reduce(lambda a, b: a.unionAll(b), maps)
 
 

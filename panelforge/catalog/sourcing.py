@@ -93,8 +93,8 @@ LINE = ["l_quantity", "l_extendedprice", "l_discount"]
 def _json(s, d):
     path = f"{_folder(s)}/matrix.json"
     matrix = correlation.pearson(table(s, d, "lineitem"), LINE)
-    t.save_json(matrix, path)
-    return rounded(t.load_json(s, path, matrix.schema), ["value"])
+    t.write_json_lines(matrix, path)
+    return rounded(t.read_json_lines(s, path, matrix.schema), ["value"])
 
 
 QUERIES["s8_json_round_trip_matrix"] = _json
@@ -117,8 +117,8 @@ ORACLES["s10_run_manifest_orders"] = """SELECT run_id, 'stats' AS stage, status,
 def _metrics(s, d):
     path = f"{_folder(s)}/clustering_metrics_run_1"
     score = evaluate.davies_bouldin(points(s, d), XS, "label", "vec_id")
-    t.save_json(score.select(F.lit(1).alias("run"), F.lit("given").alias("method"), r("davies_bouldin").alias("davies_bouldin")), path)
-    return t.load_json(s, path, "run int, method string, davies_bouldin double")
+    t.write_json_lines(score.select(F.lit(1).alias("run"), F.lit("given").alias("method"), r("davies_bouldin").alias("davies_bouldin")), path)
+    return t.read_json_lines(s, path, "run int, method string, davies_bouldin double")
 
 
 QUERIES["s11_metrics_sink_embeddings"] = _metrics

@@ -129,10 +129,12 @@ class Density:
 
 @dataclass(frozen=True)
 class Partition:
-    """Number of clusters of k-means and of the Ward tree; exact in rounds, or with ``micro`` over micro-clusters."""
+    """Number of clusters of k-means and of the Ward tree; exact in rounds over cells of
+    ``cell_rows`` groups, or with ``micro`` over micro-clusters."""
 
     clusters: int = 4
     micro: int | None = None
+    cell_rows: int = 2_000
     seed: int = SEED
 
 
@@ -177,5 +179,5 @@ class ModelSettings:
         if method == "dbscan":
             return {"eps": self.density.radius, "min_samples": self.density.rows}
         found = {"k": self.partition.clusters, "seed": self.partition.seed}
-        ward = {"micro": self.partition.micro, "rounds": self.partition.micro is None}
+        ward = {"micro": self.partition.micro, "rounds": self.partition.micro is None, "cell_rows": self.partition.cell_rows}
         return found | ward if method == "agglomerative" else found

@@ -166,7 +166,7 @@ def pair_sums(
 
     anchors = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"b{i}").alias("b")) for i in range(p)])
     exploded = frame.select("*", F.inline(anchors))
-    single = buckets.is_single(F.col("c"), F.col("b"))
+    single = buckets.is_single(F.col("b"))
     grouped = exploded.where(~single).groupBy("c", "b")
     results = grouped.applyInPandas(_bucket_task(p, centre, with_cells), CELL_SCHEMA)
     if not with_cells:
@@ -176,7 +176,7 @@ def pair_sums(
         return sums, ties, n
 
     # one-value buckets only tie inside; they still are cells, totalled without a gather
-    if any(buckets.single):
+    if buckets.any_single:
         alone = exploded.where(single)
         size = alone.groupBy("c", "b").agg(F.count(F.lit(1)).cast("double").alias("m"))
         others = F.array(

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col
+from ..functions.scalars import col, number
 from .quantiles import long_form
 from .sampling import stratified_sample
 
@@ -39,7 +38,7 @@ def density_curve(df: DataFrame, cols: Sequence[str], points: int = GRID_POINTS)
     """
     aggs = []
     for i, c in enumerate(cols):
-        x = col(c).cast("double")
+        x = number(col(c))
         aggs += [F.count(x).alias(f"n{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     row = df.agg(*aggs).first()
     usable, grids, widths, counts = [], [], [], []
@@ -52,7 +51,7 @@ def density_curve(df: DataFrame, cols: Sequence[str], points: int = GRID_POINTS)
         widths.append(h)
         counts.append(n)
         grids.append(np.linspace(row[f"a{i}"] - CUT * h, row[f"b{i}"] + CUT * h, points))
-    slim = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(usable)])
+    slim = df.select(*[number(col(c)).alias(f"c{i}") for i, c in enumerate(usable)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(usable), points))
@@ -85,10 +84,7 @@ def scatter_pairs(
 ) -> DataFrame:
     """(key, x_col, y_col, x, y) for every column pair of the sampled rows."""
     sample = scatter_sample(df, cols, stratum, key, fraction)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y"))
-            for a, b in combinations(cols, 2)
-        ]
-    )
-    return sample.select(col(key), F.inline(pairs))
+    values = F.array(*[F.struct(F.lit(c).alias("name"), col(c).cast("double").alias("v")) for c in cols])
+    first = sample.select(col(key), values.alias("_all")).select(col(key), "_all", F.posexplode("_all").alias("_i", "_a"))
+    both = first.select(col(key), "_a", F.explode(F.slice("_all", F.col("_i") + 2, F.lit(len(cols)))).alias("_b"))
+    return both.select(col(key), F.col("_a.name").alias("x_col"), F.col("_b.name").alias("y_col"), F.col("_a.v").alias("x"), F.col("_b.v").alias("y"))

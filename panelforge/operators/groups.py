@@ -6,7 +6,6 @@ beginning or part of a name it asks for. One pass over the column names fills th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -56,14 +55,20 @@ def column_sets(names: Iterable[str]) -> ColumnSets:
     return ColumnSets({k: tuple(v) for k, v in kinds.items()}, found)
 
 
-def metric_columns(names: Iterable[str], metric: str, year: str | None = None, whole: bool = True) -> tuple[str, ...]:
-    """Yearly columns of a metric; without ``whole`` the metric is a pattern anywhere in the name."""
-    if whole:
-        start = metric + "."
-        hits = [n for n in names if n.startswith(start) or re.search(r"\W" + re.escape(start), n)]
-    else:
-        hits = [n for n in names if re.search(metric, n)]
-    return tuple(n for n in hits if year is None or year in n)
+def yearly_columns(names: Iterable[str]) -> dict[str, dict[str, str]]:
+    """metric -> year -> column, for names like ``EBIT.2020``; other names are left out."""
+    table: dict[str, dict[str, str]] = {}
+    for name in names:
+        metric, dot, year = name.rpartition(".")
+        if dot and year.isdigit():
+            table.setdefault(metric, {})[year] = name
+    return table
+
+
+def metric_columns(names: Iterable[str], *metrics: str, years: Sequence[str] | None = None) -> tuple[str, ...]:
+    """Yearly columns of the given metrics, in the order of the schema; all years unless some are named."""
+    table = yearly_columns(names)
+    return tuple(column for m in metrics for year, column in table.get(m, {}).items() if years is None or year in years)
 
 
 def without(columns: Sequence[str], omit: Sequence[str]) -> tuple[str, ...]:

@@ -75,12 +75,15 @@ def compare(
     task: Callable[[Rows, Rows], Rows],
     schema: str,
     rows: int = CHUNK_ROWS,
+    whole: str = "id",
 ) -> DataFrame:
     """Run ``task`` on every (query chunk, candidate chunk) of every group.
 
+    Candidates that are equal in the column ``whole`` are never dealt to different chunks.
+
     A task gets and returns columns as arrays (coordinates as the matrix ``x``), so that
-    thousands of small groups cost little each. Both frames have ``g`` (long) and ``id`` (long). Output per query may come from several
-    chunks; the caller merges it.
+    thousands of small groups cost little each. Both frames have ``g`` (long) and ``id`` (long).
+    Output per query may come from several chunks; the caller merges it.
     """
     nq = queries.groupBy("g").agg(F.count(F.lit(1)).alias("nq"))
     nc = candidates.groupBy("g").agg(F.count(F.lit(1)).alias("nc"))
@@ -99,7 +102,7 @@ def compare(
     again = plan.select("g", *[F.col(c).alias(c) for c in ("pack", "small", "qk", "ck")])
     if total["n"] <= BROADCAST_GROUPS:
         plan, again = F.broadcast(plan), F.broadcast(again)
-    chunk = F.xxhash64("id", F.lit(17))
+    chunk, chunk_c = F.xxhash64("id", F.lit(17)), F.xxhash64(whole, F.lit(17))
     keyed_q = (
         queries.join(plan, "g")
         .withColumn("qc", F.pmod(chunk, F.col("qk")).cast("int"))
@@ -109,7 +112,7 @@ def compare(
     keyed_c = (
         candidates.select(*[F.col(c).alias(c) for c in candidates.columns])
         .join(again, "g")
-        .withColumn("cc", F.pmod(chunk, F.col("ck")).cast("int"))
+        .withColumn("cc", F.pmod(chunk_c, F.col("ck")).cast("int"))
         .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qk") - 1)))
         .drop("qk", "ck")
     )

@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.scalars import col
-from ..session import broadcast_if_small
-from .buckets import ROWS_PER_BUCKET, value_buckets
+from ..functions.scalars import col, complete_rows
+from ..session import store
+from .buckets import ROWS_PER_BUCKET, long_values, value_positions
 
 
 def order_statistics(
@@ -18,60 +17,27 @@ def order_statistics(
 ) -> DataFrame:
     """Per row: key, values ``v0..``, average ranks ``r0..`` and distance sums ``a0..``.
 
-    ``a`` is the sum of |x - y| over all rows y. Only rows complete in ``cols`` take part.
-    Windows run inside one bucket of one column; rows of a one-value bucket
-    need no window at all, since bucket totals already give their statistics.
+    ``a`` is the sum of |x - y| over all rows y. Only rows complete in ``cols`` take part; rows
+    that share a key stay apart. All follows from a value's place among the distinct values of its
+    column, so rows meet one row per value and no window holds rows.
     """
-    buckets = value_buckets(df, cols, [key], rows_per_bucket)
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("c"), F.col(f"b{i}").alias("b"), F.col(f"v{i}").alias("v"))
-            for i in range(len(cols))
-        ]
-    )
-    long = buckets.frame.select(col(key), F.inline(entries))
-    totals = long.groupBy("c", "b").agg(F.count(F.lit(1)).alias("bn"), F.sum("v").alias("bs"))
-    column = Window.partitionBy("c")
-    before = column.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    # columns x buckets rows
-    offsets = totals.select(
+    width = len(cols)
+    values = [col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
+    slim = complete_rows(df.select(col(key).alias("_key"), *values))
+    slim = store(slim.withColumn("_uid", F.monotonically_increasing_id()))
+    long = long_values(slim, width, ["_uid"])
+    places = value_positions(long.select("c", "v"), slim.count() * width, rows_per_bucket)
+    v, le = F.col("v"), F.col("lower") + F.col("n")
+    sle = F.col("s_lower") + F.col("n") * v
+    scored = long.join(places, ["c", "v"]).select(
+        "_uid",
         "c",
-        "b",
-        "bn",
-        "bs",
-        F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("n0"),
-        F.coalesce(F.sum("bs").over(before), F.lit(0.0)).alias("s0"),
-        F.sum("bn").over(column).alias("nn"),
-        F.sum("bs").over(column).alias("ss"),
-    )
-    placed = long.join(broadcast_if_small(offsets, 1_000_000), ["c", "b"])
-    single = buckets.is_single(F.col("c"), F.col("b"))
-    inside = Window.partitionBy("c", "b").orderBy("v")
-    upto = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    mixed = placed.where(~single).select(
-        "*",
-        (F.rank().over(inside) - 1 + F.col("n0")).alias("lt"),
-        (F.count(F.lit(1)).over(upto) + F.col("n0")).alias("le"),
-        (F.sum("v").over(upto) + F.col("s0")).alias("sle"),
-    )
-    parts = mixed
-    if any(buckets.single):
-        alone = placed.where(single).select(
-            "*",
-            F.col("n0").alias("lt"),
-            (F.col("n0") + F.col("bn")).alias("le"),
-            (F.col("s0") + F.col("bs")).alias("sle"),
-        )
-        parts = mixed.unionAll(alone)
-    v, le, sle = F.col("v"), F.col("le"), F.col("sle")
-    scored = parts.select(
-        col(key),
-        "c",
-        "v",
-        ((F.col("lt") + le + 1) / 2.0).alias("r"),
+        (F.col("lower") + (F.col("n") + 1) / 2.0).alias("r"),
         (v * le - sle + (F.col("ss") - sle) - v * (F.col("nn") - le)).alias("a"),
     )
-    picks = [
-        F.max(F.when(F.col("c") == i, F.col(m))).alias(f"{m}{i}") for m in ("v", "r", "a") for i in range(len(cols))
-    ]
-    return scored.groupBy(col(key)).agg(*picks)
+    picks = [F.max(F.when(F.col("c") == i, F.col(m))).alias(f"{m}{i}") for m in ("r", "a") for i in range(width)]
+    found = scored.groupBy("_uid").agg(*picks)
+    names = [f"v{i}" for i in range(width)]
+    return slim.join(found, "_uid").select(
+        F.col("_key").alias(key), *names, *[f"{m}{i}" for m in ("r", "a") for i in range(width)]
+    )

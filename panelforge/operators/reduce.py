@@ -11,13 +11,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, complete_rows
+from ..functions.scalars import col, complete_rows, number
 from .gram import pair_moments
 
 
 def variances(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Population variance per column, one aggregate."""
-    row = df.agg(*[F.var_pop(col(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.var_pop(number(col(c))).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"v{i}"] for i, c in enumerate(cols)}
 
 

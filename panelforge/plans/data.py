@@ -36,6 +36,6 @@ def run_data_plan(
     save_if_absent(describe(sample), store.path("describe"))
     cleaned, sectors = clean_panel(sample, order=key)
     save_parquet(sectors, store.path("sectors"))
-    features = store.save(build_features(cleaned), STAGES[0])
+    features = store.stage(STAGES[0], lambda: build_features(cleaned))
     save_parquet(shape_audit({"sample": sample, "cleaned": cleaned, "features": features}), store.path("row_audit"))
     return DataResult(features, column_sets(features.columns))

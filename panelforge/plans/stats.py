@@ -17,8 +17,7 @@ from ..operators.groups import column_sets, without
 from ..operators.outliers import outlier_chain
 from ..operators.sampling import stratified_sample
 from ..operators.shape import analyze_shape, choose_and_apply, shape_audit
-from ..session import store as store_frame
-from ..sources.tables import StageStore, append_manifest, save_parquet
+from ..sources.tables import StageStore, append_manifest
 
 METHODS = ("pearson", "spearman", "kendall", "distance")
 
@@ -32,8 +31,11 @@ def explore(df: DataFrame, cols: Sequence[str], key: str, run: int) -> tuple[Dat
         "distance": distance_correlation(df, cols, key),
     }
     parts = [m.select(F.lit(run).alias("run"), F.lit(name).alias("method"), "*") for name, m in found.items()]
-    variances = variance_vector(df, cols).select(F.lit(run).alias("run"), "*")
-    return reduce(DataFrame.unionAll, parts), variances
+    return reduce(DataFrame.unionAll, parts), run_variances(df, cols, run)
+
+
+def run_variances(df: DataFrame, cols: Sequence[str], run: int) -> DataFrame:
+    return variance_vector(df, cols).select(F.lit(run).alias("run"), "*")
 
 
 def shape_rounds(
@@ -41,43 +43,42 @@ def shape_rounds(
 ) -> DataFrame:
     """Analyse, choose and apply transforms ``rounds`` times, storing stage and map of each."""
     for i in range(1, settings.shapes.rounds + 1):
-        report = store_frame(analyze_shape(df, cols, stratum, key, settings.fraction))
-        save_parquet(report, store.path(f"shape{i}"))
+        before = df
+        report = store.stage(f"shape{i}", lambda: analyze_shape(before, cols, stratum, key, settings.fraction))
         table = report.select("column", "transform", F.col("skew_after").alias("skew"), F.col("kurt_after").alias("kurt"))
         shaped, chosen = choose_and_apply(df, table, settings.shapes.least)
-        save_parquet(chosen, store.path(f"transform_map{i}"))
-        before, df = df, store.save(shaped, f"transform{i}")
-        save_parquet(shape_audit(before, df, cols), store.path(f"shape_audit{i}"))
+        store.stage(f"transform_map{i}", lambda: chosen)
+        df = store.stage(f"transform{i}", lambda: shaped)
+        store.stage(f"shape_audit{i}", lambda: shape_audit(before, df, cols))
     return df
 
 
 def explore_stages(
-    store: StageStore, stages: Sequence[str], cols: Sequence[str], stratum: str, key: str, fraction: float
+    store: StageStore, stages: Sequence[str], cols: Sequence[str], stratum: str, key: str, fraction: float, plots: bool = True
 ) -> DataFrame:
-    """Exploration of every stored stage on its stratified sample; returns the stored matrices."""
+    """Exploration of every stored stage on its stratified sample, plot tables unless told not to; returns the stored matrices."""
     for run, stage in enumerate(stages):
-        sample = store_frame(stratified_sample(store.load(stage), stratum, key, fraction))
-        found, variances = explore(sample, cols, key, run)
-        save_parquet(found, store.path(f"matrices{run}"))
-        save_parquet(variances, store.path(f"variances{run}"))
+        sample = store.stage(f"sample{run}", lambda: stratified_sample(store.load(stage), stratum, key, fraction))
+        store.stage(f"matrices{run}", lambda: explore(sample, cols, key, run)[0])
+        store.stage(f"variances{run}", lambda: run_variances(sample, cols, run))
         for group, names in column_sets(sample.columns).sets.items():
-            if group in ("grow", "raw_mean", "fur"):
-                save_parquet(density.density_curve(sample, names), store.path(f"density_{group}{run}"))
-                save_parquet(density.scatter_pairs(sample, names, stratum, key, 1.0), store.path(f"pairs_{group}{run}"))
+            if plots and group in ("grow", "raw_mean", "fur"):
+                store.stage(f"density_{group}{run}", lambda: density.density_curve(sample, names))
+                store.stage(f"pairs_{group}{run}", lambda: density.scatter_pairs(sample, names, stratum, key, 1.0))
     return reduce(DataFrame.unionAll, [store.load(f"matrices{run}") for run in range(len(stages))])
 
 
 def matrix_studies(found: DataFrame, cols: Sequence[str], runs: Sequence[int], store: StageStore) -> None:
     """Norms, their differences and eigenvalues of the distance matrices."""
     distance = found.where((F.col("method") == "distance") & F.col("run").isin(list(runs)))
-    norms = matrices.matrix_norms(distance, ["run"])
-    save_parquet(norms, store.path("norms"))
-    save_parquet(matrices.run_differences(store.load("norms")), store.path("norm_differences"))
-    spectra = []
-    for run in runs:
+    norms = store.stage("norms", lambda: matrices.matrix_norms(distance, ["run"]))
+    store.stage("norm_differences", lambda: matrices.run_differences(norms))
+
+    def spectrum(run: int) -> DataFrame:
         values = matrices.variance_explained(matrices.eigenvalues(distance.where(F.col("run") == run), cols))
-        spectra.append(values.select(F.lit(run).alias("run"), "*"))
-    save_parquet(reduce(DataFrame.unionAll, spectra), store.path("eigenvalues"))
+        return values.select(F.lit(run).alias("run"), "*")
+
+    store.stage("eigenvalues", lambda: reduce(DataFrame.unionAll, [spectrum(run) for run in runs]))
 
 
 def run_stats_plan(
@@ -88,13 +89,16 @@ def run_stats_plan(
     manifest: str | None = None,
     run_id: str = "run",
 ) -> DataFrame:
-    """All steps after the feature stage; the manifest row is written even on failure."""
+    """All steps after the feature stage; the manifest row is written even on failure.
+
+    With a resuming store, an interrupted run goes on after its last finished stage.
+    """
     settings = settings or StudySettings()
     status = "failed"
     try:
         raw = store.load(STAGES[0])
         sets = column_sets(raw.columns)
-        kept = store.save(outlier_chain(raw, sets["continuous"], key, settings), STAGES[1])
+        kept = store.stage(STAGES[1], lambda: outlier_chain(raw, sets["continuous"], key, settings))
         shaped = shape_rounds(kept, sets["continuous"], stratum, key, settings, store)
         stages = [*STAGES[:2], *[f"transform{i}" for i in range(1, settings.shapes.rounds + 1)]]
         cols = without(sets["all"], sets["vol"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,11 +133,11 @@ def write_jdbc(
 
 
 # --- JSON results -----------------------------------------------------------
-def save_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def load_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
@@ -149,11 +149,17 @@ def append_manifest(spark: SparkSession, path: str, run_id: str, stage: str, sta
 
 
 class StageStore:
-    """Named stage results of one run: written as Parquet, read back by the next stage."""
+    """Named stage results of one run: written as Parquet, read back by the next stage.
 
-    def __init__(self, spark: SparkSession, root: str, run_id: str):
+    A stage counts as finished once its marker is written, after its last file. With ``resume`` a
+    run takes finished stages as they are until it meets one that is not; that one and all later
+    stages are built again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, run_id: str, resume: bool = False):
         self.spark = spark
         self.root = f"{root.rstrip('/')}/run={run_id}"
+        self._resuming = resume
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
@@ -164,3 +170,21 @@ class StageStore:
 
     def load(self, name: str) -> DataFrame:
         return load_parquet(self.spark, self.path(name))
+
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The finished stage of that name, or the result of ``build`` stored as it."""
+        files, marker = self._marker(name)
+        if not (self._resuming and files.exists(marker)):
+            self._resuming = False
+            files.delete(marker, False)
+            save_parquet(build(), self.path(name))
+            files.create(marker, True).close()
+        return self.load(name)
+
+    def finished(self, name: str) -> bool:
+        files, marker = self._marker(name)
+        return files.exists(marker)
+
+    def _marker(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_finished/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path

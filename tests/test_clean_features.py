@@ -93,5 +93,5 @@ def test_group_sizes_and_ordered_difference():
     assert {k: len(v) for k, v in g.sets.items()} == {"all": 25, "fur": 4, "grow": 6, "raw_mean": 6, "vol": 6, "score": 3}
     assert groups.without(["b", "a", "c"], ["a"]) == ("b", "c")
     names = ["EBIT.2020", "EBIT.2019", "EBITDA.2020"]
-    assert groups.metric_columns(names, "EBIT", "2020") == ("EBIT.2020",)
-    assert groups.metric_columns(names, "EBIT", "2020", whole=False) == ("EBIT.2020", "EBITDA.2020")
+    assert groups.metric_columns(names, "EBIT", years=["2020"]) == ("EBIT.2020",)
+    assert groups.metric_columns(names, "EBIT", "EBITDA", years=["2020"]) == ("EBIT.2020", "EBITDA.2020")
