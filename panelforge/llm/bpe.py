@@ -8,6 +8,7 @@ beats a heap. Each task keeps a bounded cache of encoded words.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from tokenizers import Tokenizer
 from .vocabulary import WORD_BPE, byte_alphabet, default_path, has_new, library_classes, vocabulary_json
 
 CACHE_WORDS = 200_000
+#: Bytes of a word that is merged by scans, and that is worth a place in the cache.
+SHORT = 128
 BATCH_BYTES = 4_000_000
 #: Larger than any rank: no such pair.
 NONE = 1 << 40
@@ -51,6 +54,8 @@ class WordBpe:
         """The tokens of one word."""
         parts = [self.alphabet[b] for b in word.encode()]
         parts[-1] += self.suffix
+        if len(parts) > SHORT:
+            return self._long(parts)
         rank = self.ranks.get
         adjacent = [rank(p, NONE) for p in zip(parts, parts[1:])]
         while adjacent:
@@ -66,14 +71,36 @@ class WordBpe:
                 adjacent[i - 1] = rank((parts[i - 1], parts[i]), NONE)
         return parts
 
+    def _long(self, parts: list[str]) -> list[str]:
+        """The same merges, least rank first and leftmost of equal ones, in n log n steps."""
+        n, rank = len(parts), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        gone = [False] * n
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if gone[i] or j == n or rank((parts[i], parts[j])) != r:
+                continue  # one of the two has been merged since
+            parts[i] += parts[j]
+            gone[j], after[i] = True, after[j]
+            for left, right in ((i, after[i]), (before[i], i)):
+                if left >= 0 and right < n:
+                    before[right] = left
+                    if (new := rank((parts[left], parts[right]))) is not None:
+                        heapq.heappush(heap, (new, left))
+        return [p for p, out in zip(parts, gone) if not out]
+
     def word(self, word: str) -> tuple[int, bytes, str]:
         """(number of ids, ids as little-endian 32-bit integers, tokens joined by blanks)."""
         parts = self.parts(word)
         ids = np.array([self.ids[p] for p in parts], dtype="<u4")
         found = (len(parts), ids.tobytes(), " ".join(parts))
-        if len(self.cache) >= self.cache_words:
-            self.cache.clear()
-        self.cache[word] = found
+        if len(word) <= SHORT:
+            if len(self.cache) >= self.cache_words:
+                self.cache.clear()
+            self.cache[word] = found
         return found
 
     def normalised(self, text: str) -> str:

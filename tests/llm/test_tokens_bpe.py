@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from panelforge.llm import bpe as bpe_module
 from panelforge.llm.bpe import WordBpe, encode_texts
 from panelforge.llm.q_bpe import token_digests
 from panelforge.llm.tokens import TokenCounter, count_tokens, frequent_pre_tokens
@@ -63,3 +64,19 @@ def test_encoded_frame(spark):
     got = [(repr(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in token_digests(docs).collect()]
     assert sorted(got) == sorted(want)
     assert encode_texts(empty(docs)).count() == 0
+
+
+def test_long_words_equal_the_library_and_short_ones():
+    path = default_path(WORD_BPE)
+    bpe, library = WordBpe(vocabulary_json(path)), Tokenizer.from_file(path)
+    rng = np.random.default_rng(6)
+    letters = "".join(rng.choice(list("etaoinshrdlu"), 200_000))
+    chinese = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 20_000))
+    for text in (letters, chinese, "a" * 5_000, "日本語のテキスト" * 300, "x" * 129, "y" * 128):
+        n, ids, _ = bpe.encode(text)
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids and n == len(ids) // 4
+    for word in ("tokenization", "antidisestablishmentarianism", "ßtraße", "ааааа", "mississippi"):
+        parts = [bpe.alphabet[b] for b in word.encode()]
+        parts[-1] += bpe.suffix
+        assert bpe._long(parts) == bpe.parts(word)
+    assert all(len(w) <= bpe_module.SHORT for w in bpe.cache)
