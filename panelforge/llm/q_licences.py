@@ -38,10 +38,11 @@ units AS (
   FROM documents
 ), starts AS (
   SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS i FROM units
+), begun AS (
+  SELECT doc_id, us, i FROM starts WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(s || ' ', us[i] || ' '))
 ), windows AS (
   SELECT doc_id, i, w, array_to_string(us[i:i + w - 1], ' ') AS t
-  FROM starts, range(1, {lic.MOST_UNITS} + 1) r(w)
-  WHERE i + w - 1 <= len(us) AND regexp_matches(us[i], '^(?:{lic._first_words(lic.SENTENCES)})(?: |$)')
+  FROM begun, range(1, {lic.most_units(lic.SENTENCES)} + 1) r(w) WHERE i + w - 1 <= len(us)
 ), found AS (
   SELECT doc_id, i, arg_max(sid, w) AS sid FROM windows JOIN known ON t = s GROUP BY doc_id, i
 ), lists AS (
