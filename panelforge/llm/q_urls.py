@@ -27,19 +27,18 @@ child{i} AS (
   SELECT host, template, {key} AS seg, sum(pages) AS pages, sum(labelled) AS labelled, sum(blocked) AS blocked
   FROM cur{i} GROUP BY host, template, {key}
 ), both{i} AS (
-  SELECT *, sum(pages) OVER p AS all_pages, sum(labelled) OVER p AS all_labelled, sum(blocked) OVER p AS all_blocked
-  FROM child{i} WINDOW p AS (PARTITION BY host, template)
-), test{i} AS (
-  SELECT *, blocked / nullif(labelled, 0) - (all_blocked - blocked) / nullif(all_labelled - labelled, 0) AS gap,
-         all_blocked / nullif(all_labelled, 0) AS pooled, 1.0::DOUBLE / nullif(labelled, 0) + 1.0::DOUBLE / nullif(all_labelled - labelled, 0) AS inv
-  FROM both{i}
+  SELECT *, (all_blocked - blocked) / nullif(all_labelled - labelled, 0) AS rest, (blocked + {urls.DIFFERS} / 2.0::DOUBLE) / (labelled + {urls.DIFFERS}) AS centre,
+         sqrt({urls.DIFFERS}::DOUBLE) * sqrt(blocked * (labelled - blocked) / nullif(labelled, 0) + {urls.DIFFERS}::DOUBLE / 4) / (labelled + {urls.DIFFERS}) AS half
+  FROM (SELECT *, sum(labelled) OVER p AS all_labelled, sum(blocked) OVER p AS all_blocked, bool_or(seg = '*' AND labelled > 0) OVER p AS starred
+        FROM child{i} WINDOW p AS (PARTITION BY host, template))
 ), step{i} AS (
   SELECT host, template, seg,
          CASE WHEN seg = '' THEN template
-              WHEN seg IN ('$', '**') OR (pages >= {urls.MIN_PAGES} AND pages >= {urls.MIN_SHARE} * all_pages
-                   AND coalesce(gap * gap / nullif(pooled * (1 - pooled) * inv, 0) > {urls.DIFFERS}, false)) THEN template || '/' || seg
-              ELSE template || '/*' END AS nxt
-  FROM test{i}
+              WHEN seg IN ('$', '**') THEN template || '/' || seg
+              WHEN labelled = 0 THEN template || CASE WHEN starred THEN '/?' ELSE '/*' END
+              WHEN rest IS NULL OR rest < centre - half OR rest > centre + half THEN template || '/' || seg
+              ELSE template || '/#' END AS nxt
+  FROM both{i}
 ), cur{i + 1} AS (
   SELECT c.* EXCLUDE (template), s.nxt AS template FROM cur{i} c JOIN step{i} s ON c.host = s.host AND c.template = s.template AND c.{key} = s.seg
 )"""
@@ -84,10 +83,10 @@ overall AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS share
 hosts AS (
   SELECT host, (sum(blocked) + {urls.SMOOTH} * any_value(share)) / (sum(labelled) + {urls.SMOOTH}) AS prior FROM cur0, overall GROUP BY host
 ), scored AS (
-  SELECT c.host, c.template, (sum(blocked) + {urls.SMOOTH} * any_value(prior)) / (sum(labelled) + {urls.SMOOTH}) AS purity
+  SELECT c.host, c.template, sum(labelled) > 0 AS judged, (sum(blocked) + {urls.SMOOTH} * any_value(prior)) / (sum(labelled) + {urls.SMOOTH}) AS purity
   FROM {last} c JOIN hosts h ON c.host = h.host GROUP BY c.host, c.template
 )
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN s.purity >= {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN s.judged AND s.purity >= {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
        t.template, s.purity
 FROM ruled r JOIN {last} t ON r.host = t.host AND {on}
 JOIN scored s ON s.host = t.host AND s.template = t.template

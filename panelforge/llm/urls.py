@@ -4,12 +4,13 @@ A rule is (verdict, domain, path): it fits its domain and all subdomains when th
 URL starts with the rule's; of the rules that fit, the longest wins. Pages under a rule are the
 labelled pages of the tree:
 
-1. variable segments become wildcards: digit runs and overlong segments by their shape, rare
-   segments by their number of pages;
-2. sibling branches whose labelled share of blocked pages does not differ from that of the
-   other branches (two-proportion test) merge into the wildcard branch; a labelled branch whose
-   siblings have no labels stays apart from them;
-3. a template is rejected when its share of blocked pages, smoothed towards its host and the
+1. variable segments become wildcards: digit runs and overlong segments by their shape;
+2. labelled sibling branches merge with each other, into ``#``, unless the share of blocked pages
+   of all other labelled siblings lies outside a branch's own interval (Wilson), or there are none:
+   such a branch keeps its name. Few labels mean a wide interval, so no count of pages is asked for;
+3. branches without labelled pages merge with each other, into ``*`` (``?`` where a labelled branch
+   is called ``*``), and never with labelled ones;
+4. a template is rejected when its share of blocked pages, smoothed towards its host and the
    host towards all pages, reaches ``purity``; one without labelled pages is not.
 
 Levels are aggregates and joins over (host, shape) rows, so a host with a third of all pages is
@@ -28,9 +29,7 @@ from .common import side
 
 DEPTH = 4
 LONG_SEGMENT = 40
-MIN_PAGES = 5
-#: Only the SQL of op9 still asks for this share of the parent's pages.
-MIN_SHARE = 0.02
+#: Square of the normal quantile of the intervals: 95 %.
 DIFFERS = 3.84
 SMOOTH = 5.0
 PURITY = 0.8
@@ -55,9 +54,9 @@ def _after_scheme(url: Column) -> Column:
 
 
 def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """Position in ``rules`` of the longest rule that fits, NULL when none does."""
+    """Position in ``rules`` of the longest rule that fits, the first of equally long ones; NULL when none does."""
     out = F.lit(None).cast("int")
-    for i, (_, domain, start) in sorted(enumerate(rules), key=lambda x: len(x[1][1]) + len(x[1][2])):
+    for i, (_, domain, start) in sorted(enumerate(rules), key=lambda x: (len(x[1][1]) + len(x[1][2]), -x[0])):
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith(start)
         out = F.when(fits, F.lit(i)).otherwise(out)
     return out
@@ -79,28 +78,26 @@ def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")]
 
 
-def path_templates(
-    shapes: DataFrame, keys: Sequence[str], min_pages: int = MIN_PAGES, differs: float = DIFFERS
-) -> DataFrame:
+def path_templates(shapes: DataFrame, keys: Sequence[str], differs: float = DIFFERS) -> DataFrame:
     """Add ``template`` to (host, ``keys``, pages, labelled, blocked), one level of the tree at a time."""
     current = shapes.withColumn("template", F.lit(""))
     for s in keys:
         child = store(current.groupBy("host", "template", F.col(s).alias("seg")).agg(*_sums()))
-        parent = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "blocked")])
+        starred = F.bool_or((F.col("seg") == "*") & (F.col("labelled") > 0)).alias("starred")
+        parent = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked")], starred)
         wide = F.lit(0) + F.octet_length("host") + F.octet_length("template")
         both = child.join(side(store(parent), wide), ["host", "template"])
-        here, rest = F.col("labelled"), F.col("all_labelled") - F.col("labelled")
-        pooled = F.try_divide(F.col("all_blocked"), F.col("all_labelled"))
-        gap = F.try_divide(F.col("blocked"), here) - F.try_divide(F.col("all_blocked") - F.col("blocked"), rest)
-        spread = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), here) + F.try_divide(F.lit(1.0), rest))
-        alone = (here > 0) & (rest == 0) & (F.col("all_pages") > F.col("pages"))
-        own = F.coalesce(F.try_divide(gap * gap, spread) > differs, F.lit(False)) | alone
-        often = F.col("pages") >= min_pages
-        end = F.col("seg").isin("", "$", "**")
+        n, b = F.col("labelled"), F.col("blocked")
+        rest = F.try_divide(F.col("all_blocked") - b, F.col("all_labelled") - n)
+        centre = (b + differs / 2) / (n + differs)
+        half = F.sqrt(F.lit(differs)) * F.sqrt(F.try_divide(b * (n - b), n) + differs / 4) / (n + differs)
+        own = rest.isNull() | (rest < centre - half) | (rest > centre + half)
         step = (
             F.when(F.col("seg") == "", F.col("template"))
-            .when(end | (often & own), F.concat("template", F.lit("/"), "seg"))
-            .otherwise(F.concat("template", F.lit("/*")))
+            .when(F.col("seg").isin("$", "**"), F.concat("template", F.lit("/"), "seg"))
+            .when(n == 0, F.concat("template", F.when(F.col("starred"), F.lit("/?")).otherwise(F.lit("/*"))))
+            .when(own, F.concat("template", F.lit("/"), "seg"))
+            .otherwise(F.concat("template", F.lit("/#")))
         )
         named = store(both.select("host", "template", F.col("seg").alias(s), step.alias("next")))
         named = side(named, wide + F.octet_length(s) + F.octet_length("next"))
@@ -119,6 +116,7 @@ def judge_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict, template, purity): one row per page.
 
+    The longest rule that fits decides, of equally long ones the first in the list.
     A NULL URL and one without ``://`` have an empty host and path; they form a host of their
     own. Repeated rows are judged alike and all returned, a NULL id is kept, other columns are
     ignored, and an empty table gives no rows. Without any labelled page nothing is rejected.

@@ -1,6 +1,8 @@
+import textwrap
+
 from panelforge.llm.licences import scan_licences
 from panelforge.llm.q_urls import RULES
-from panelforge.llm.urls import judge_urls
+from panelforge.llm.urls import best_rule, judge_urls
 
 from .cases import documents, empty
 
@@ -72,3 +74,62 @@ def test_licence_sentences_and_rules(spark):
     docs = documents(spark)
     assert scan_licences(docs).count() == docs.count()
     assert scan_licences(empty(docs)).count() == 0
+
+
+def test_unlabelled_branches_never_share_a_labelled_template(spark):
+    rules = [("block", "half.com", "/de/"), ("allow", "half.com", "/a/"), ("block", "half.com", "/b/"), ("block", "two.com", "/spam/1"), ("block", "two.com", "/junk/1"), ("block", "d.com", "/7")]
+    # four blocked pages, 500 unlabelled ones, elsewhere half of the labelled pages blocked
+    rows = [f"http://half.com/de/{i}" for i in range(4)] + [f"http://half.com/en/{i}" for i in range(500)]
+    rows += [f"http://half.com/{x}/{i}" for x in "ab" for i in range(30)]
+    # two branches that are blocked alike, and one without labels
+    rows += [f"http://two.com/{x}/1{i}" for x in ("spam", "junk") for i in range(50)] + [f"http://two.com/{x}/2{i}" for x in ("spam", "junk") for i in range(5)]
+    rows += [f"http://two.com/news/{i}" for i in range(500)]
+    # a branch of numbers with labels, beside unlabelled words
+    rows += [f"http://d.com/7{i}" for i in range(30)] + [f"http://d.com/8{i}" for i in range(5)] + [f"http://d.com/{w}" for w in ("us", "them")]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {rows[r["page_id"]]: r for r in judge_urls(df, rules).collect()}
+    assert {got[u]["verdict"] for u in rows if "/en/" in u or "/news/" in u} == {"allow"}
+    assert got["http://half.com/en/7"]["template"] != got["http://half.com/de/3"]["template"]
+    # the two blocked branches merge with each other, and decide for their own unlabelled pages
+    assert {got[f"http://two.com/{x}/23"]["template"] for x in ("spam", "junk")} == {"/#/*/$"}
+    assert {got[f"http://two.com/{x}/23"]["verdict"] for x in ("spam", "junk")} == {"block"}
+    assert got["http://d.com/83"]["verdict"] == "block" and got["http://d.com/83"]["template"] == "/*/$"
+    assert got["http://d.com/us"]["verdict"] == "allow" and got["http://d.com/us"]["template"] == "/?/$"
+
+
+def test_of_equally_long_rules_the_first_wins(spark):
+    one = spark.createDataFrame([("a.com", "/x/y")], "host string, path string")
+    rules = [("allow", "a.com", "/x"), ("block", "com", "/x/y")]
+    chosen = one.select(best_rule(one["host"], one["path"], rules).alias("a"), best_rule(one["host"], one["path"], rules[::-1]).alias("b")).first()
+    assert (chosen["a"], chosen["b"]) == (0, 0)
+
+
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+    "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution.\n"
+)
+ENDORSE = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission.\n"
+)
+
+
+def test_wrapped_licences_and_longer_rules(spark):
+    narrow = "\n".join(textwrap.fill(p, 24) for p in MIT.split("\n"))
+    texts = [
+        narrow, MIT.replace(" ", "\n"), BSD + ENDORSE, BSD, "This file is licensed under the MIT License.", "// SPDX-License-Identifier: Apache-2.0\nint main;",
+        "SPDX-License-Identifier: GPL-2.0-or-later", "Distributed under the GNU Lesser General Public License v3.0.",
+        "This is free and unencumbered software released into the public domain.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in scan_licences(df).collect()}
+    want = [["MIT"], ["MIT"], ["BSD-3-Clause"], ["BSD-2-Clause"], ["MIT"], ["Apache-2.0"], ["GPL-2.0-or-later"], ["LGPL-3.0"], ["Unlicense"]]
+    assert [got[i] for i in range(len(texts))] == want
