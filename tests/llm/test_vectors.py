@@ -98,3 +98,49 @@ def test_a_report_is_a_spanning_forest_with_counts():
         want[a] += copies[b]
     assert (np.bincount(got["u"], weights=got["links"], minlength=300) == want).all()
     assert set(zip(got["u"], got["v"])) <= true_links(x)
+
+
+def test_queries_after_a_passed_audit_come_from_the_graph():
+    x = unit(clustered(2_000, 16))
+    shard = _Shard(np.arange(2_000), np.ones(2_000, dtype=int), x, 0.95, 4, 0.99)
+    want = true_links(x)
+    found = set()
+    for ids, audited in ((np.arange(300), True), (np.arange(300, 2_000), False)):
+        for rows, nodes in shard.links(ids, x[ids], audited):
+            found |= {(int(ids[r]), int(c)) for r, c in zip(rows, nodes)}
+    assert found <= want and len(found) >= 0.99 * len(want)
+    assert not shard.exact and shard.audited[0] > 0 and shard.audited[1] >= 0.99 * shard.audited[0]
+
+
+def test_a_failed_audit_compares_all_later_queries():
+    x = unit(clustered(600, 16))
+    shard = _Shard(np.arange(600), np.ones(600, dtype=int), x, 0.95, 4, 0.99)
+    shard.graph.search = lambda q, beam: (np.zeros((len(q), beam), dtype=np.int64), np.full((len(q), beam), -1.0, dtype=np.float32))  # finds nothing
+    list(shard.links(np.arange(64), x[:64], True))
+    assert shard.exact
+    rest = {(int(r) + 64, int(c)) for rows, nodes in shard.links(np.arange(64, 600), x[64:], False) for r, c in zip(rows, nodes)}
+    assert rest == {p for p in true_links(x) if p[0] >= 64}
+
+
+def test_planted_groups_among_twenty_thousand_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((20_000, 64))
+    at = 0
+    for size in [2] * 400 + [7] * 100 + [60] * 20 + [900]:  # near copies of the first vector of each group
+        x[at : at + size] = x[at] + 0.08 * rng.standard_normal((size, 64))
+        at += size
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = unit(x)
+    links = np.zeros(len(x), dtype=int)
+    least = np.arange(len(x))
+    for s in range(0, len(x), 2_000):
+        near = q[s : s + 2_000] @ q.T >= 0.95
+        links[s : s + 2_000] = near.sum(axis=1) - 1
+        least[s : s + 2_000] = near.argmax(axis=1)
+    while (least[least] != least).any():
+        least = least[least]
+    got = near_vectors(df, shard_rows=2_500, shards=4, audits=500).toPandas().sort_values("vec_id")
+    assert links.sum() > 800_000
+    found = got["n_links"].to_numpy()
+    assert (found <= links).all() and found.sum() >= (1 - 1e-5) * links.sum()
+    assert (got["component_id"].to_numpy() == least).all()
