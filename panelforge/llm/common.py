@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import is_small, store
@@ -52,6 +53,17 @@ def side(stored: DataFrame, size: Column | None = None) -> DataFrame:
     return F.broadcast(stored) if bytes_ <= BROADCAST_BYTES else stored
 
 
+def row_order(df: DataFrame) -> Column:
+    """The row as a value that windows can order by; maps have no order, so a row with any counts as its JSON."""
+
+    def holds_map(t: T.DataType) -> bool:
+        if isinstance(t, T.StructType):
+            return any(holds_map(f.dataType) for f in t.fields)
+        return isinstance(t, T.MapType) or isinstance(t, T.ArrayType) and holds_map(t.elementType)
+
+    return F.to_json(packed(df)) if holds_map(df.schema) else packed(df)
+
+
 def most_frequent(counted: DataFrame, count: str, most: int, tie: str) -> DataFrame:
     """At most ``most`` rows with the largest counts: as many whole bands of counts as fit.
 

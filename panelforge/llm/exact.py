@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import store
-from .common import packed, side, squeezed
+from .common import packed, row_order, side, squeezed
 
 PREFIX = 64
 HOT_ROWS = 1_000
@@ -86,11 +86,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns, which may be of any type.
+
+    Of rows that share an id and a text the first in the order of all their columns stays.
+    """
     # rows that share an id and a text are interchangeable, so (id, text hash) finds what stays
     key = lambda i, sha: F.concat_ws("|", F.col(i).cast("string"), sha)
     kept = exact_groups(docs, id_col, text_col).where("kept").select(key(id_col, F.col("text_sha256")).alias("key"))
     points = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(packed(docs).alias("row"), key(id_col, F.sha2(squeezed(F.col(text_col)), 256)).alias("key"), points.alias("points"))
-    one = Window.partitionBy("key").orderBy(F.col("points").desc(), "row")
+    rows = docs.select(packed(docs).alias("row"), row_order(docs).alias("order"), key(id_col, F.sha2(squeezed(F.col(text_col)), 256)).alias("key"), points.alias("points"))
+    one = Window.partitionBy("key").orderBy(F.col("points").desc(), "order")
     return rows.join(kept, "key", "left_semi").withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import store
-from .common import numbered, packed, side, word_count
+from .common import numbered, packed, row_order, side, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -124,8 +124,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")
     )
     # the window needs the same distribution as the join
-    same_id = Window.partitionBy("key").orderBy("row")
-    rows = docs.select(packed(docs).alias("row"), name.alias("key"))
+    same_id = Window.partitionBy("key").orderBy("order")
+    rows = docs.select(packed(docs).alias("row"), row_order(docs).alias("order"), name.alias("key"))
     joined = rows.join(taken.where("total > 0"), "key").withColumn("place", F.row_number().over(same_id))
     share = F.floor(F.col("total") / F.col("rows")) + (F.col("place") <= F.col("total") % F.col("rows")).cast("long")
     every = joined.select("row", share.cast("int").alias("copies")).where("copies > 0")

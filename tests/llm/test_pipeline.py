@@ -7,6 +7,8 @@ from panelforge.llm.bpe import WordBpe
 from panelforge.llm.vocabulary import WORD_BPE, default_path, vocabulary_json
 from panelforge.llm.simhash import near_groups
 
+from .cases import documents, empty
+
 
 def test_stages_take_effect(spark, small_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "encoding"]
@@ -38,3 +40,17 @@ def test_stages_take_effect(spark, small_dir):
     again = corpus_pipeline.run(spark, small_dir)
     key = [F.col("doc_id"), F.sha2("ids", 256).alias("h")]
     assert sorted(map(tuple, again.select(*key).collect())) == sorted(map(tuple, frames[4].select(*key).collect()))
+
+
+def test_stages_on_odd_rows(spark, small_dir):
+    docs = documents(spark).withColumn("more", F.create_map(F.lit("k"), F.col("source")))  # maps have no order
+    exact = corpus_pipeline.exact_dedup(spark, docs, small_dir)
+    squeeze = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    assert sorted(squeeze(r["text"]) for r in exact.collect()) == sorted({squeeze(r["text"]) for r in docs.collect()})
+    kept = corpus_pipeline.near_dedup(spark, exact, small_dir)
+    mixed = corpus_pipeline.mixing(spark, kept, small_dir)
+    assert kept.columns == mixed.columns == docs.columns
+    assert {r["text"] for r in mixed.collect()} <= {r["text"] for r in kept.collect()} <= {r["text"] for r in exact.collect()}
+    assert corpus_pipeline.encoding(spark, mixed, small_dir).count() == mixed.count()
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, empty(docs), small_dir).count() == 0

@@ -1,7 +1,9 @@
+import math
+
 import numpy as np
 import pytest
 
-from panelforge.llm.toxicity import Chain, drop_toxic, fit_chain, fit_chain_arrays, score_chain, text_features
+from panelforge.llm.toxicity import Chain, Linear, drop_toxic, fit_chain, fit_chain_arrays, score_chain, text_features
 
 from .cases import documents, empty
 
@@ -65,3 +67,26 @@ def test_odd_rows_and_missing_labels(spark, labelled):
     fitted = fit_chain(docs, spark.createDataFrame([(0, 0, 0), (1, 0, None), (5, 1, 1)], "doc_id long, vile int, rude int"), ["vile", "rude"])
     assert score_chain(docs, fitted).count() == docs.count()
     assert isinstance(fitted, Chain)
+
+
+def test_scores_equal_a_plain_loop_along_the_chain(spark):
+    rng = np.random.default_rng(8)
+    features = ["bad", "badl~", "worse", "fine", "été"]
+    chain = Chain(["a", "b", "c"], features, [Linear(rng.normal(size=5 + j), float(rng.normal())) for j in range(3)])
+    texts = ["Bad, bad!", "badly worse", "", None, "fine day " * 5_000, "ÉTÉ (badlands)", "nothing"]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)] + [(None, "bad", 1.0)], "doc_id long, text string, p_a double")
+    got = {(r["doc_id"], r["p_a"], r["p_b"], r["p_c"], r["rejected"]) for r in score_chain(df, chain).collect()}
+
+    def plain(text):
+        words = {w.strip(".,;:!?\"'()[]{}<>#$%&*|-_/\\") for w in (text or "").lower().split()} - {""}
+        present = {f for f in features if f in words or f.endswith("~") and any(len(w) >= len(f) - 1 and w.startswith(f[:-1]) for w in words)}
+        out = []
+        for m in chain.models:
+            z = m.bias + sum(m.weights[k] for k, f in enumerate(features) if f in present) + sum(w * p for w, p in zip(m.weights[5:], out))
+            out.append(1 / (1 + math.exp(-z)))
+        return out
+
+    want = {(i, *plain(t)) for i, t in [*enumerate(texts), (None, "bad")]}
+    rows = {(k[0], *(round(v, 12) for v in k[1:4])) for k in got}
+    assert rows == {(k[0], *(round(v, 12) for v in k[1:])) for k in want}
+    assert all(k[4] == (k[3] >= 0.5) for k in got)
