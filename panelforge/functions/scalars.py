@@ -60,30 +60,39 @@ def _total(parts: Sequence[Column]) -> Column:
     return reduce(add, parts)
 
 
-def row_count(cols: Sequence[Column]) -> Column:
-    return _total([number(c).isNotNull().cast("int") for c in cols])
+def _values(cols: Sequence[Column], clean: bool) -> list[Column]:
+    """What an expression reads; ``clean`` says that the columns are doubles without NaN already.
+
+    Wide frames normalise once and pass ``clean``: NaN guards around every use make generated
+    code outgrow what the JVM compiles.
+    """
+    return list(cols) if clean else [number(c) for c in cols]
+
+
+def row_count(cols: Sequence[Column], clean: bool = False) -> Column:
+    return _total([c.isNotNull().cast("int") for c in _values(cols, clean)])
 
 
-def row_mean(cols: Sequence[Column]) -> Column:
+def row_mean(cols: Sequence[Column], clean: bool = False) -> Column:
     """Mean over the present values of a row."""
-    total = _total([F.coalesce(number(c), F.lit(0.0)) for c in cols])
-    return F.try_divide(total, row_count(cols))
+    total = _total([F.coalesce(c, F.lit(0.0)) for c in _values(cols, clean)])
+    return F.try_divide(total, row_count(cols, clean))
 
 
-def row_std(cols: Sequence[Column], mean: Column) -> Column:
+def row_std(cols: Sequence[Column], mean: Column, clean: bool = False) -> Column:
     """Sample standard deviation over the present values; NULL below two values.
 
     ``mean`` should be a column already projected: repeating its expression per
     value makes generated code outgrow what the JVM compiles.
     """
-    deviations = _total([F.coalesce(F.pow(number(c) - mean, F.lit(2.0)), F.lit(0.0)) for c in cols])
-    n = row_count(cols)
+    deviations = _total([F.coalesce(F.pow(c - mean, F.lit(2.0)), F.lit(0.0)) for c in _values(cols, clean)])
+    n = row_count(cols, clean)
     return F.when(n >= 2, F.sqrt(deviations / F.nullif(n - 1, F.lit(0))))
 
 
-def growth(current: Column, previous: Column) -> Column:
+def growth(current: Column, previous: Column, clean: bool = False) -> Column:
     """(current - previous) / previous; NULL where previous is 0 or missing."""
-    current, previous = number(current), number(previous)
+    current, previous = _values([current, previous], clean)
     return F.try_divide(current - previous, previous)
 
 
