@@ -11,8 +11,8 @@ next segment (one differing bit leaves a half untouched), 24 bits of every finge
 positions. The later links prune a candidate before the full Hamming check.
 
 Copies are one fingerprint. Dense groups are first linked along sorted fingerprints, which costs
-a linear number of comparisons; the join then emits a pair only if it links two different groups
-so far, so a group of near copies is not expanded into all its pairs.
+a linear number of comparisons. Keys that hold one such group only are dropped, and in the others
+groups meet before their members do, so a group of near copies is never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -129,15 +129,21 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
     edges = store(_neighbours(fps, distance))
     groups = connected_components(fps.select(F.col("fp").alias("id")), edges)
     keyed = _keys(store(groups.select(F.col("id").alias("fp"), F.col("component").alias("group"))), segments)
-    left = keyed.select("key", "s", F.col("fp").alias("u"), F.col("group").alias("gu"))
-    right = keyed.select("key", F.col("fp").alias("v"), F.col("group").alias("gv"))
+    # a key inside one group has nothing left to link
+    several = keyed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+    members = store(keyed.join(several, "key", "left_semi").select("key", "group", "fp", "s"))
+    # groups meet first, so that members of one group never meet each other
+    named = members.select("key", "s", "group").distinct()
+    meeting = named.withColumnRenamed("group", "gu").join(named.select("key", F.col("group").alias("gv")), "key").where("gu < gv")
+    left = members.select("key", F.col("group").alias("gu"), F.col("fp").alias("u"))
+    right = members.select("key", F.col("group").alias("gv"), F.col("fp").alias("v"))
     diff = F.col("u").bitwiseXOR(F.col("v"))
     chains = _chain(diff, segments, distance)
     viable = F.lit(False)
     for s, ok in enumerate(chains):
         viable = viable | ((F.col("s") == s) & ok)
-    near = (F.bit_count(diff) <= distance) & (F.col("gu") < F.col("gv"))
-    return edges.unionAll(left.join(right, "key").where(near & viable).select("u", "v"))
+    met = meeting.join(left, ["key", "gu"]).join(right, ["key", "gv"])
+    return edges.unionAll(met.where(viable & (F.bit_count(diff) <= distance)).select("u", "v"))
 
 
 def near_groups(

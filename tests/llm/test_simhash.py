@@ -107,3 +107,20 @@ def test_groups_match_brute_force_on_odd_rows(spark):
 def test_key_needs_a_short_distance(spark):
     with pytest.raises(ValueError):
         near_links(spark.createDataFrame([(1,)], "fp long"), distance=4)
+
+
+def test_members_of_one_group_never_meet(spark):
+    """A dense group and a far one that share a key: only pairs between the groups are compared."""
+    from panelforge.llm import simhash
+
+    # neighbours in sorted order link each of the two by themselves
+    centre, other = 0xABCDEF << 40, 0xABCDEF << 40 | 0xFF_FFFF_0000
+    dense = [signed(centre), *[signed(centre ^ 1 << b) for b in range(64)]]
+    far = [signed(other), *[signed(other ^ 1 << b) for b in range(16)]]
+    fps = spark.createDataFrame([(f,) for f in dense + far], "fp long")
+    edges = near_links(fps).collect()
+    assert len(edges) <= simhash.BITS // simhash.SORT_BITS * len(dense + far)
+    assert all(bin((r["u"] ^ r["v"]) & (2**64 - 1)).count("1") <= 3 for r in edges)
+    ids = {f: c for f, c in brute_components(set(dense + far)).items()}
+    assert len(set(ids.values())) == 2
+    assert all(ids[r["u"]] == ids[r["v"]] for r in edges)
