@@ -123,10 +123,23 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = mix_sources(docs, id_col, text_col, source_col, **options).groupBy(name.alias("key")).agg(
         F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")
     )
-    # the window needs the same distribution as the join
-    same_id = Window.partitionBy("key").orderBy("order")
-    rows = docs.select(packed(docs).alias("row"), row_order(docs).alias("order"), name.alias("key"))
-    joined = rows.join(taken.where("total > 0"), "key").withColumn("place", F.row_number().over(same_id))
-    share = F.floor(F.col("total") / F.col("rows")) + (F.col("place") <= F.col("total") % F.col("rows")).cast("long")
-    every = joined.select("row", share.cast("int").alias("copies")).where("copies > 0")
+    taken = store(taken.where("total > 0"))
+    rows = docs.select(packed(docs).alias("row"), name.alias("key"))
+    every = rows.join(taken.where("rows = 1"), "key").select("row", F.col("total").alias("copies"))
+    shared = taken.where("rows > 1")
+    if not shared.isEmpty():
+        every = every.unionAll(_shared(docs, name, shared))
+    every = every.withColumn("copies", F.col("copies").cast("int")).where("copies > 0")
     return every.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+
+
+def _shared(docs: DataFrame, name: Column, taken: DataFrame) -> DataFrame:
+    """(row, copies) for rows that share an id; places are global positions, so no id is one task's."""
+    rows = docs.select(packed(docs).alias("row"), row_order(docs).alias("order"), name.alias("key"))
+    # ``uid`` only splits equal rows, which may change places
+    joined = store(rows.join(side(taken, F.octet_length("key")), "key").withColumn("uid", F.monotonically_increasing_id()))
+    placed = store(numbered(joined, [F.col("key"), F.col("order"), F.col("uid")], "place"))
+    first = store(placed.groupBy("key").agg(F.min("place").alias("first")))
+    place = F.col("place") - F.col("first")
+    share = F.floor(F.col("total") / F.col("rows")) + (place < F.col("total") % F.col("rows")).cast("long")
+    return placed.join(side(first, F.octet_length("key")), "key").select("row", share.alias("copies"))

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 from panelforge.llm.exact import drop_exact_copies, exact_groups
 from panelforge.llm.mixing import mix_sources, mixed_documents, source_targets
@@ -83,3 +84,20 @@ def test_mix_handles_odd_rows(spark):
     assert mixed.count() == sum(r["copies"] for r in rows)
     assert mix_sources(empty(docs)).count() == 0
     assert mixed_documents(empty(docs)).count() == 0
+
+
+def test_rows_of_one_id_share_its_copies(spark):
+    rows = [(None, f"a b c {i % 40}", "s") for i in range(200)] + [(7, "d e", "s")] * 30 + [(100 + i, "f g h", "t") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = mix_sources(docs).collect()
+    got = mixed_documents(docs).collect()
+    assert len(got) == sum(r["copies"] for r in copies)
+    for key, number in ((None, 200), (7, 30)):
+        total = sum(r["copies"] for r in copies if r["doc_id"] == key)
+        taken = Counter(r["text"] for r in got if r["doc_id"] == key)
+        there = Counter(t for i, t, _ in rows if i == key)
+        assert sum(taken.values()) == total
+        # as evenly as it goes: every row floor or ceiling of the mean
+        assert all(total // number * there[t] <= taken[t] <= -(-total // number) * there[t] for t in there)
+    again = mixed_documents(docs.repartition(5)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
