@@ -1,11 +1,13 @@
 """Searches in blocks of leaves and distances by products, against plain versions."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import dbscan, neighbors, outliers, pairs
+from panelforge.operators import dbscan, evaluate, neighbors, outliers, pairs
 
 from .test_outliers_clusters import brute_dbscan, brute_lof
 
@@ -64,3 +66,19 @@ def test_infinite_coordinates_are_left_to_differences():
     x = np.array([[0.0, 0.0], [0.5, 0.0], [np.inf, 0.0], [1e200, 0.0]])
     rows = {"id": np.arange(4), "w": np.ones(4, dtype=np.int64), "x": x}
     assert dbscan._count_task(1.0)(rows, rows)["near"].tolist() == [2, 2, 0, 1]
+
+
+def test_silhouette_sums_hold_small_matrices():
+    rng = np.random.default_rng(6)
+    x, label = rng.normal(size=(3_000, 8)) + 1e3, np.r_[np.arange(500), rng.integers(0, 40, 2_500)]
+    rows = {"id": np.arange(len(x)), "size": np.ones(len(x), dtype=np.int64), "label": label, "x": x}
+    tracemalloc.start()
+    got = evaluate._own_and_nearest(rows, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # sums of 3,000 x 500 clusters, never 3,000 x 3,000 distances
+    far = np.sqrt(((x[:200, None] - x[None]) ** 2).sum(-1))
+    for i in range(200):
+        sums = {v: far[i, label == v] for v in np.unique(label)}
+        assert np.isclose(got["own_total"][i], sums[label[i]].sum(), rtol=1e-9)
+        assert np.isclose(got["other"][i], min(d.mean() for v, d in sums.items() if v != label[i]), rtol=1e-9)
