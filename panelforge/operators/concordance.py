@@ -26,6 +26,8 @@ from .buckets import ROWS_PER_BUCKET, value_buckets
 
 PAIR_SCHEMA = "i int, j int, k double, d double"
 GRID_SIDE = 1024
+#: Columns that a task compares its own column with: a task's memory follows from them and the bucket's rows.
+TASK_COLUMNS = 16
 
 
 def signed_pair_sums(xkey: np.ndarray, ykey: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -85,29 +87,31 @@ def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _bucket_task(p: int, centre: Sequence[float], with_cells: bool):
+    """One bucket of column ``c`` (x) against a few other columns (y0.. with their buckets d0..)."""
     centre = np.asarray(centre, dtype=float)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c, b = int(key[0]), int(key[1])
-        raw = pdf[[f"v{i}" for i in range(p)]].to_numpy(dtype=float)
-        v = raw - centre
-        buckets = pdf[[f"b{i}" for i in range(p)]].to_numpy(dtype=np.int64)
+        c, b, part = (int(k) for k in key)
+        x = pdf["x"].to_numpy(dtype=float)
         out = []
-        counts = np.unique(raw[:, c], return_counts=True)[1].astype(float)
-        out.append(("tie", c, c, 0, 0, float((counts * (counts - 1) / 2).sum()), 0.0, 0.0, 0.0))
-        for j in range(c + 1, p):
-            k, d = signed_pair_sums(raw[:, c], raw[:, j], _weights(v[:, c], v[:, j]))
+        if part == c // TASK_COLUMNS:
+            counts = np.unique(x, return_counts=True)[1].astype(float)
+            out.append(("tie", c, c, 0, 0, float((counts * (counts - 1) / 2).sum()), 0.0, 0.0, 0.0))
+        for at in range(min(TASK_COLUMNS, p - part * TASK_COLUMNS)):
+            j = part * TASK_COLUMNS + at
+            if j == c or j < c and not with_cells:
+                continue
+            y, bj = pdf[f"y{at}"].to_numpy(dtype=float), pdf[f"d{at}"].to_numpy(dtype=np.int64)
+            vx, vy = x - centre[c], y - centre[j]
+            if j < c:
+                k, d = signed_pair_sums(bj, x, _weights(vy, vx))
+                out.append(("sum", j, c, 0, 0, k, d, 0.0, 0.0))
+                continue
+            k, d = signed_pair_sums(x, y, _weights(vx, vy))
             out.append(("sum", c, j, 0, 0, k, d, 0.0, 0.0))
-        if with_cells:
-            for i in range(c):
-                k, d = signed_pair_sums(buckets[:, i], raw[:, c], _weights(v[:, i], v[:, c]))
-                out.append(("sum", i, c, 0, 0, k, d, 0.0, 0.0))
-            for j in range(c + 1, p):
-                bj = buckets[:, j]
-                n = np.bincount(bj)
-                sx = np.bincount(bj, weights=v[:, c])
-                sy = np.bincount(bj, weights=v[:, j])
-                sxy = np.bincount(bj, weights=v[:, c] * v[:, j])
+            if with_cells:
+                n, sx = np.bincount(bj), np.bincount(bj, weights=vx)
+                sy, sxy = np.bincount(bj, weights=vy), np.bincount(bj, weights=vx * vy)
                 out += [
                     ("cell", c, j, b, int(t), float(n[t]), float(sx[t]), float(sy[t]), float(sxy[t]))
                     for t in np.flatnonzero(n)
@@ -117,6 +121,23 @@ def _bucket_task(p: int, centre: Sequence[float], with_cells: bool):
     return run
 
 
+def _task_columns(anchored: DataFrame, p: int, with_cells: bool) -> DataFrame:
+    """(c, b, part, x, y.., d..): every row of a bucket with a few columns at a time."""
+    last = (p - 1) // TASK_COLUMNS
+    first = F.lit(0) if with_cells else F.floor(F.col("c") / TASK_COLUMNS).cast("int")
+    values, numbers = F.array(*[F.col(f"v{i}") for i in range(p)]), F.array(*[F.col(f"b{i}") for i in range(p)])
+    held = anchored.select("c", "b", values.alias("v"), numbers.alias("d"), F.explode(F.sequence(first, F.lit(last))).alias("part"))
+    places = [(F.col("part") * TASK_COLUMNS + i).cast("int") for i in range(min(TASK_COLUMNS, p))]
+    return held.select(
+        "c",
+        "b",
+        "part",
+        F.get("v", F.col("c")).alias("x"),
+        *[F.coalesce(F.get("v", at), F.lit(0.0)).alias(f"y{i}") for i, at in enumerate(places)],
+        *[F.coalesce(F.get("d", at), F.lit(0)).alias(f"d{i}") for i, at in enumerate(places)],
+    )
+
+
 CELL_SCHEMA = "kind string, i int, j int, bi int, bj int, n double, sx double, sy double, sxy double"
 
 
@@ -167,7 +188,7 @@ def pair_sums(
     anchors = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"b{i}").alias("b")) for i in range(p)])
     exploded = frame.select("*", F.inline(anchors))
     single = buckets.is_single(F.col("b"))
-    grouped = exploded.where(~single).groupBy("c", "b")
+    grouped = _task_columns(exploded.where(~single), p, with_cells).groupBy("c", "b", "part")
     results = grouped.applyInPandas(_bucket_task(p, centre, with_cells), CELL_SCHEMA)
     if not with_cells:
         results = cut_lineage(results)

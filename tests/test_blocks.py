@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import dbscan, evaluate, neighbors, outliers, pairs
+from panelforge.operators import concordance, dbscan, evaluate, neighbors, outliers, pairs
 
 from .test_outliers_clusters import brute_dbscan, brute_lof
 
@@ -82,3 +82,24 @@ def test_silhouette_sums_hold_small_matrices():
         sums = {v: far[i, label == v] for v in np.unique(label)}
         assert np.isclose(got["own_total"][i], sums[label[i]].sum(), rtol=1e-9)
         assert np.isclose(got["other"][i], min(d.mean() for v, d in sums.items() if v != label[i]), rtol=1e-9)
+
+
+def test_concordance_tasks_hold_few_columns(spark, monkeypatch):
+    seen = concordance._bucket_task(40, [0.0] * 40, False)
+    columns = {"x": np.arange(6.0)} | {f"y{i}": np.arange(6.0)[::-1] for i in range(16)} | {f"d{i}": np.zeros(6) for i in range(16)}
+    out = seen((20, 0, 1), pd.DataFrame(columns))
+    assert set(out.loc[out["kind"] == "sum", "j"]) == set(range(21, 32))  # of 40 columns
+    monkeypatch.setattr(concordance, "TASK_COLUMNS", 2)
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 30, (90, 5)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcde")))
+    upper = np.triu_indices(90, 1)
+    for rows in (1_000, 20):  # one bucket, and many with cells
+        sums, ties, n = concordance.pair_sums(df, list("abcde"), rows)
+        got = {(r["i"], r["j"]): (r["k"], r["d"]) for r in sums.collect()}
+        assert n == 90 and len(got) == 10
+        for (i, j), (k, d) in got.items():
+            dx, dy = (x[:, c, None] - x[None, :, c] for c in (i, j))
+            assert k == np.sign(dx * dy)[upper].sum()
+            assert np.isclose(d, np.abs(dx * dy)[upper].sum())
+        assert {r["c"]: r["t"] for r in ties.collect()} == {c: (x[:, c, None] == x[None, :, c])[upper].sum() for c in range(5)}
