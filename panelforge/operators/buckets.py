@@ -23,6 +23,8 @@ from ..session import store
 ROWS_PER_BUCKET = 250_000
 #: Partitions of the range shuffle of distinct values, at most.
 RANGES = 10_000
+#: From so many ranges on, a range holds at least so many rows: smaller ones would cost more to start than to sort.
+MANY_RANGES, RANGE_ROWS = 200, 50_000
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,11 @@ def long_values(df: DataFrame, width: int, keep: Sequence[str] = ()) -> DataFram
     return df.select(*keep, F.inline(entries))
 
 
+def range_count(rows: int, rows_per_range: int) -> int:
+    """Ranges that the distinct values are shuffled into; their number changes no result."""
+    return max(1, min(RANGES, math.ceil(rows / rows_per_range), max(MANY_RANGES, math.ceil(rows / RANGE_ROWS))))
+
+
 def value_positions(long: DataFrame, rows: int, rows_per_range: int = ROWS_PER_BUCKET) -> DataFrame:
     """(c, v, n, lower, s_lower, nn, ss) per distinct value of (c, v) rows, stored.
 
@@ -53,7 +60,7 @@ def value_positions(long: DataFrame, rows: int, rows_per_range: int = ROWS_PER_B
     ``ss`` those of the whole column.
     """
     distinct = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranges = max(1, min(RANGES, math.ceil(rows / rows_per_range)))
+    ranges = range_count(rows, rows_per_range)
     ranged = store(distinct.repartitionByRange(ranges, "c", "v").withColumn("part", F.spark_partition_id()))
     total = ranged.groupBy("c", "part").agg(F.sum("n").alias("pn"), F.sum(F.col("n") * F.col("v")).alias("ps"))
     column = Window.partitionBy("c")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import concordance, dbscan, evaluate, neighbors, outliers, pairs
+from panelforge.operators import buckets, concordance, dbscan, evaluate, neighbors, outliers, pairs
 
 from .test_outliers_clusters import brute_dbscan, brute_lof
 
@@ -103,3 +103,10 @@ def test_concordance_tasks_hold_few_columns(spark, monkeypatch):
             assert k == np.sign(dx * dy)[upper].sum()
             assert np.isclose(d, np.abs(dx * dy)[upper].sum())
         assert {r["c"]: r["t"] for r in ties.collect()} == {c: (x[:, c, None] == x[None, :, c])[upper].sum() for c in range(5)}
+
+
+def test_small_buckets_do_not_make_thousands_of_ranges():
+    assert buckets.range_count(450_000, 1_000) == 200
+    assert buckets.range_count(27_000_000, 1_000) == 540
+    assert buckets.range_count(45_000, 1_000) == 45 and buckets.range_count(0, 1_000) == 1
+    assert buckets.range_count(10**10, 250_000) == 10_000
