@@ -23,6 +23,9 @@ SMALL_GROUP = 512
 BLOCK_CELLS = 500_000
 #: Shape of the matrices that are filled by one product: they stay in the cache of a core.
 TILE_ROWS, TILE_COLUMNS = 256, 2_048
+#: Points of a box, and queries that look for boxes together; the most directions a box has, and the least share of the widest.
+BOX_ROWS, STRIP_ROWS = 64, 64
+BOX_COLUMNS, BOX_SHARE = 12, 1e-4
 #: Pairs whose differences are taken at once.
 EXACT_PAIRS = 20_000
 BROADCAST_GROUPS = 200_000
@@ -99,32 +102,90 @@ def _places(part: slice | np.ndarray, n: int) -> np.ndarray:
     return np.arange(n)[part] if isinstance(part, slice) else part
 
 
+def near_order(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): runs of at most ``most`` points that lie near each other, by halves at the median of the widest coordinate."""
+    order, starts, open_ = np.arange(len(x)), [], [(0, len(x))]
+    while open_:
+        s, e = open_.pop()
+        if e - s <= most:
+            starts.append(s)
+            continue
+        part = order[s:e]
+        held = x[part]
+        low, high = held.min(axis=0), held.max(axis=0)
+        along = held[:, int((high - low).argmax())]
+        order[s:e] = part[np.argsort(along, kind="stable")] if e - s <= 2 * most else part[np.argpartition(along, (e - s) // 2)]
+        middle = s + (e - s) // 2
+        open_ += [(middle, e), (s, middle)]
+    return order, np.array(starts, dtype=np.int64)
+
+
+class _Boxes:
+    """Runs of points as boxes along the main directions of the candidates, which bound distances from below.
+
+    Turned coordinates keep distances, and a few of them never exceed the whole; rounding is left to a slack that follows the largest norm.
+    """
+
+    def __init__(self, c: np.ndarray):
+        self.centre = c.mean(axis=0)
+        moved = c - self.centre
+        spread, turn = np.linalg.eigh(moved.T @ moved)
+        self.turn = turn[:, ::-1][:, :BOX_COLUMNS]
+        # directions that add nothing to the spread bound nothing
+        self.turn = self.turn[:, : max(1, int((spread[::-1][:BOX_COLUMNS] > BOX_SHARE * spread[-1]).sum()))]
+        self.y = moved @ self.turn
+        self.order, self.start = near_order(self.y, BOX_ROWS)
+        self.low = np.minimum.reduceat(self.y[self.order], self.start)
+        self.high = np.maximum.reduceat(self.y[self.order], self.start)
+        self.end = np.r_[self.start[1:], len(c)]
+        self.largest = float(np.sqrt((moved * moved).sum(axis=1).max()))
+
+    def turned(self, q: np.ndarray) -> tuple[np.ndarray, float]:
+        moved = q - self.centre
+        return moved @ self.turn, 1e-9 * (self.largest + float(np.sqrt((moved * moved).sum(axis=1).max())))
+
+    def near(self, y: np.ndarray, radius: np.ndarray, slack: float) -> np.ndarray:
+        """The candidates of all boxes that some query reaches, those of the nearest boxes first."""
+        reach = np.square(radius * (1 + 1e-9) + slack)
+        # the box of the queries rules out most boxes at once
+        away = np.maximum(np.maximum(self.low - y.max(axis=0), y.min(axis=0) - self.high), 0.0)
+        apart = np.square(away).sum(axis=1)
+        some = np.flatnonzero(apart <= reach.max())
+        some = some[np.argsort(apart[some], kind="stable")]
+        low, high = self.low[some], self.high[some]
+        apart = np.zeros((len(y), len(some)))
+        for f in range(y.shape[1]):
+            away = np.maximum(low[:, f] - y[:, f, None], y[:, f, None] - high[:, f])
+            apart += np.square(np.maximum(away, 0.0, out=away), out=away)
+        some = some[(apart <= reach[:, None]).any(axis=0)]
+        return np.concatenate([self.order[s:e] for s, e in zip(self.start[some], self.end[some])]) if len(some) else self.order[:0]
+
+
 def strips(q: Rows, c: Rows, products: Products, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries, candidates): few queries of one ``home`` and the candidates of all ``leaf``s near one of them.
+    """(queries, candidates): few queries that lie near each other and the candidates of all boxes near one of them.
 
-    A leaf is left out when the triangle inequality keeps all its points further than ``radius`` from each query.
+    A box is left out when all its points are further than ``radius`` from each query, whatever cells they come from.
     """
-    order = np.argsort(q["home"], kind="stable") if "home" in q else np.arange(len(q["x"]))
-    every = np.argsort(c["leaf"], kind="stable") if "leaf" in c else np.arange(len(c["x"]))
-    start = np.flatnonzero(np.r_[True, np.diff(c["leaf"][every]) != 0]) if "leaf" in c and len(every) else np.zeros(1, dtype=np.int64)
-    bounds = None
-    if len(start) > 1 and products.safe:
-        count = np.diff(np.r_[start, len(every)])
-        x = c["x"][every]
-        centre = np.add.reduceat(x, start, axis=0) / count[:, None]
-        away = np.sqrt(((x - np.repeat(centre, count, axis=0)) ** 2).sum(axis=1))
-        bounds = Products(q["x"], centre), np.minimum.reduceat(away, start), np.maximum.reduceat(away, start), count
-    for s in range(0, len(order), TILE_ROWS):
-        rows = order[s : s + TILE_ROWS]
-        if bounds is None or not bounds[0].safe:
-            yield rows, every
+    every = np.arange(len(c["x"]))
+    if not products.safe or not len(every) or not len(q["x"]):
+        for s in range(0, len(q["x"]), TILE_ROWS):
+            yield np.arange(s, min(s + TILE_ROWS, len(q["x"]))), every
+        return
+    boxes = _Boxes(c["x"])
+    y, slack = boxes.turned(q["x"])
+    for wide in _runs(y, np.arange(len(y)), TILE_ROWS):
+        met = boxes.near(y[wide], radius[wide], slack)
+        if 2 * len(met) > len(every):
+            # many candidates are met in one product; fewer queries would hardly meet less
+            yield wide, every if len(met) == len(every) else met
             continue
-        to, low, high, count = bounds
-        square, slack = to.tile(rows, slice(None))
-        apart = np.maximum(np.sqrt(np.maximum(square - slack, 0.0)) - high, low - np.sqrt(np.maximum(square + slack, 0.0)))
-        apart -= 1e-9 * (np.sqrt(np.maximum(square, 0.0)) + high)
-        near = (apart <= radius[rows, None] * (1 + 1e-9)).any(axis=0)
-        yield rows, every if near.all() else every[np.repeat(near, count)]
+        for rows in _runs(y, wide, STRIP_ROWS):
+            yield rows, boxes.near(y[rows], radius[rows], slack)
+
+
+def _runs(y: np.ndarray, rows: np.ndarray, most: int) -> list[np.ndarray]:
+    order, start = near_order(y[rows], most)
+    return np.split(rows[order], start[1:])
 
 
 def tiles(rows: np.ndarray, columns: np.ndarray, products: Products) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
