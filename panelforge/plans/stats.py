@@ -17,6 +17,7 @@ from ..operators.groups import column_sets, without
 from ..operators.outliers import outlier_chain
 from ..operators.sampling import stratified_sample
 from ..operators.shape import analyze_shape, choose_and_apply, shape_audit
+from ..session import side_by_side
 from ..sources.tables import StageStore, append_manifest
 
 METHODS = ("pearson", "spearman", "kendall", "distance")
@@ -57,7 +58,8 @@ def explore_stages(
     store: StageStore, stages: Sequence[str], cols: Sequence[str], stratum: str, key: str, fraction: float, plots: bool = True
 ) -> DataFrame:
     """Exploration of every stored stage on its stratified sample, plot tables unless told not to; returns the stored matrices."""
-    for run, stage in enumerate(stages):
+
+    def one(run: int, stage: str) -> None:
         sample = store.stage(f"sample{run}", lambda: stratified_sample(store.load(stage), stratum, key, fraction))
         store.stage(f"matrices{run}", lambda: explore(sample, cols, key, run)[0])
         store.stage(f"variances{run}", lambda: run_variances(sample, cols, run))
@@ -65,6 +67,9 @@ def explore_stages(
             if plots and group in ("grow", "raw_mean", "fur"):
                 store.stage(f"density_{group}{run}", lambda: density.density_curve(sample, names))
                 store.stage(f"pairs_{group}{run}", lambda: density.scatter_pairs(sample, names, stratum, key, 1.0))
+
+    # stages are stored already, and none reads what another's exploration wrote
+    side_by_side(store.spark, [lambda run=run, stage=stage: one(run, stage) for run, stage in enumerate(stages)])
     return reduce(DataFrame.unionAll, [store.load(f"matrices{run}") for run in range(len(stages))])
 
 

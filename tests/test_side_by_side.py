@@ -3,12 +3,14 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge import catalog
 from panelforge.catalog import modelling
 from panelforge.config import Density, ModelSettings, Partition
-from panelforge.plans import model
+from panelforge.plans import model, stats
 from panelforge.session import side_by_side
+from panelforge.sources.tables import StageStore
 
 
 @pytest.fixture
@@ -47,3 +49,18 @@ def test_results_keep_their_order_and_errors_are_raised(spark):
     assert side_by_side(spark, []) == []
     with pytest.raises(ZeroDivisionError):
         side_by_side(spark, [lambda: 1, lambda: 1 / 0])
+
+
+def test_stages_are_explored_together(spark, monkeypatch, tmp_path):
+    here = threading.Barrier(2, timeout=60)
+
+    def meets(df, cols, key, run):
+        here.wait()
+        return df.select(F.lit(run).alias("run"), F.col("a").alias("value")), None
+
+    monkeypatch.setattr(stats, "explore", meets)
+    store = StageStore(spark, str(tmp_path), "together")
+    for i, name in enumerate(("raw", "outliers")):
+        store.save(spark.createDataFrame([(j, "s", float(i + j)) for j in range(4)], "row_id long, kind string, a double"), name)
+    found = stats.explore_stages(store, ["raw", "outliers"], ["a"], "kind", "row_id", 1.0, plots=False)
+    assert sorted((r["run"], r["value"]) for r in found.collect()) == [(i, float(i + j)) for i in range(2) for j in range(4)]
