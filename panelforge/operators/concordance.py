@@ -39,49 +39,55 @@ def signed_pair_sums(xkey: np.ndarray, ykey: np.ndarray, w: np.ndarray) -> tuple
     """
     if len(xkey) < 2:
         return 0.0, 0.0
-    x = np.unique(xkey, return_inverse=True)[1]
-    bits = int(x.max()).bit_length()
+    n = len(xkey)
+    _, x, counts = np.unique(xkey, return_inverse=True, return_counts=True)
+    bits = (len(counts) - 1).bit_length()
     if bits == 0:
         return 0.0, 0.0
     order = np.argsort(ykey, kind="stable")
-    x, y, w = x[order], np.asarray(ykey)[order], w[order]
-    n = len(x)
-    index = np.arange(n)
+    x, y = x[order].astype(np.int32), np.asarray(ykey)[order]
+    w = [np.ascontiguousarray(w[order, f], dtype=float) for f in range(4)]
+    # points with the same leading bits of x stand side by side, in y order
+    first = np.r_[0, np.cumsum(counts)[:-1]]
+    other = y[1:] != y[:-1]
+    tied = not other.all()
+    y = np.r_[0, np.cumsum(other)].astype(np.int32)
     k_total = d_total = 0.0
     for bit in range(bits - 1, -1, -1):
-        block = x >> (bit + 1)
-        right = ((x >> bit) & 1).astype(bool)
-        left_w = np.where(right[:, None], 0.0, w)
-        cum = np.vstack([np.zeros((1, w.shape[1])), np.cumsum(left_w, axis=0)])
-        new_block = np.r_[True, block[1:] != block[:-1]]
-        new_run = new_block | np.r_[True, y[1:] != y[:-1]]
-        block_at = np.maximum.accumulate(np.where(new_block, index, 0))
-        run_at = np.maximum.accumulate(np.where(new_run, index, 0))
-        block_starts, run_starts = np.flatnonzero(new_block), np.flatnonzero(new_run)
-        block_end = np.r_[block_starts[1:], n][np.cumsum(new_block) - 1]
-        run_end = np.r_[run_starts[1:], n][np.cumsum(new_run) - 1]
-        r = np.flatnonzero(right)
-        below = cum[run_at[r]] - cum[block_at[r]]
-        above = cum[block_end[r]] - cum[run_end[r]]
-        net, wr = below - above, w[r]
-        k_total += float((wr[:, 0] * net[:, 0]).sum())
-        d_total += float(
-            (wr[:, 3] * net[:, 0] - wr[:, 1] * net[:, 2] - wr[:, 2] * net[:, 1] + wr[:, 0] * net[:, 3]).sum()
-        )
-        # next bit: same y order inside each half block
-        lefts = np.cumsum(~right)
-        lefts_before = lefts - ~right
-        base = lefts_before[block_at]
-        left_count = lefts[block_end - 1] - base
-        rank_left = lefts_before - base
-        rank_right = index - block_at - rank_left
-        target = block_at + np.where(right, left_count + rank_right, rank_left)
-        moved = np.empty(n, dtype=np.int64)
-        moved[target] = index
-        x, y, w = x[moved], y[moved], w[moved]
+        starts = first[:: 1 << (bit + 1)]
+        bounds = np.r_[starts, n]
+        right = (x >> bit & 1).astype(bool)
+        high = [np.where(right, f, 0.0) for f in w]
+        low = [np.concatenate([[0.0], np.cumsum(np.where(right, 0.0, f))]) for f in w]
+        if tied:
+            new = np.r_[True, y[1:] != y[:-1]]
+            new[starts] = True
+            runs = np.flatnonzero(new)
+            ends = np.r_[runs[1:], n]
+            k, d = _products([np.add.reduceat(f, runs) for f in high], [f[runs] + f[ends] for f in low])
+        else:
+            k, d = _products(high, [2.0 * f[:-1] for f in low])
+        # lower less higher points of the block: twice those up to here less all before and all through the block
+        k_block, d_block = _products([np.add.reduceat(f, starts) for f in high], [f[starts] + f[bounds[1:]] for f in low])
+        k_total += k - k_block
+        d_total += d - d_block
+        if bit:
+            # next bit: same y order inside each half block
+            rights = np.add.reduceat(right, starts, dtype=np.int64)
+            lefts = np.diff(bounds) - rights
+            is_left, is_right = np.flatnonzero(~right), np.flatnonzero(right)
+            moved = np.empty(n, dtype=np.int64)
+            moved[np.arange(len(is_left)) + np.repeat(np.cumsum(rights) - rights, lefts)] = is_left
+            moved[np.arange(len(is_right)) + np.repeat(np.cumsum(lefts), rights)] = is_right
+            x, y, w = x[moved], y[moved] if tied else y, [f[moved] for f in w]
     return k_total, d_total
 
 
+def _products(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[float, float]:
+    """Sums of the products of two groups' counts, and of their products of differences."""
+    return float(a[0] @ b[0]), float(a[3] @ b[0] - a[1] @ b[2] - a[2] @ b[1] + a[0] @ b[3])
+
+
 def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, y, x * y])
 

@@ -38,9 +38,12 @@ def spearman(df: DataFrame, cols: Sequence[str], key: str, rows_per_bucket: int
     return named(_ratio(pair_moments(stats, [f"r{i}" for i in range(len(cols))])), cols)
 
 
-def kendall(df: DataFrame, cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Tau-b over the rows complete in ``cols``; NULL where a column is constant."""
-    sums, ties, n = pair_sums(df, cols, rows_per_bucket)
+def kendall(df: DataFrame, cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET, found: tuple | None = None) -> DataFrame:
+    """Tau-b over the rows complete in ``cols``; NULL where a column is constant.
+
+    ``found`` are the ``pair_sums`` of the frame when they are known already.
+    """
+    sums, ties, n = found or pair_sums(df, cols, rows_per_bucket)
     pairs = float(n) * (n - 1) / 2
     free = ties.select("c", (F.lit(pairs) - F.col("t")).alias("f"))
     # one row per column
@@ -54,10 +57,10 @@ def kendall(df: DataFrame, cols: Sequence[str], rows_per_bucket: int = ROWS_PER_
 
 
 def distance_correlation(
-    df: DataFrame, cols: Sequence[str], key: str, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, cols: Sequence[str], key: str, rows_per_bucket: int = ROWS_PER_BUCKET, found: tuple | None = None
 ) -> DataFrame:
-    """Biased (V-statistic) distance correlation, diagonal 1, 0 where a column is constant."""
-    sums, _, n = pair_sums(df, cols, rows_per_bucket)
+    """Biased (V-statistic) distance correlation, diagonal 1, 0 where a column is constant; ``found`` as in ``kendall``."""
+    sums, _, n = found or pair_sums(df, cols, rows_per_bucket)
     p = len(cols)
     stats = order_statistics(df, key, cols, rows_per_bucket)
     # centred second moments of values and of distance sums, one pass each row

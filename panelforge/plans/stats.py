@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import STAGES, StudySettings
 from ..functions.scalars import col
 from ..operators import density, matrices
+from ..operators.concordance import pair_sums
 from ..operators.correlation import distance_correlation, kendall, pearson, spearman, variance_vector
 from ..operators.groups import column_sets, without
 from ..operators.outliers import outlier_chain
@@ -25,11 +26,13 @@ METHODS = ("pearson", "spearman", "kendall", "distance")
 
 def explore(df: DataFrame, cols: Sequence[str], key: str, run: int) -> tuple[DataFrame, DataFrame]:
     """(matrices, variances) of one stage with its run number: all four correlation methods."""
+    # one comparison of all row pairs serves both measures
+    sums = pair_sums(df, cols)
     found = {
         "pearson": pearson(df, cols),
         "spearman": spearman(df, cols, key),
-        "kendall": kendall(df, cols),
-        "distance": distance_correlation(df, cols, key),
+        "kendall": kendall(df, cols, found=sums),
+        "distance": distance_correlation(df, cols, key, found=sums),
     }
     parts = [m.select(F.lit(run).alias("run"), F.lit(name).alias("method"), "*") for name, m in found.items()]
     return reduce(DataFrame.unionAll, parts), run_variances(df, cols, run)
