@@ -1,11 +1,14 @@
 """Disk: what a step stores goes with it, and comparisons of many copies go in passes."""
 
 import glob
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.config import Density, ModelSettings, Partition
 from panelforge.operators import pairs
+from panelforge.plans import model
 from panelforge.session import DROP_SHUFFLES, ensure_checkpoint_dir, settled, store
 
 
@@ -60,3 +63,25 @@ def test_passes_meet_every_pair_once(spark, monkeypatch, moved):
     of = {r["id"]: r["g"] for r in frame.collect()}
     assert got == sorted((a, b) for a in of for b in of if of[a] == of[b])
     assert (len(places(spark)) - before > 1) == (moved == 40)
+
+
+def test_silhouettes_of_many_rows_are_taken_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(model, "ALONE_ROWS", 10)
+    running, most, plain = [], [], model.score
+
+    def scored(*args):
+        running.append(1)
+        most.append(len(running))
+        time.sleep(0.5)
+        found = plain(*args)
+        running.pop()
+        return found
+
+    monkeypatch.setattr(model, "score", scored)
+    df = spark.range(24).selectExpr("id", "id % 3 * 10 + id / 24 as a", "id % 5 / 10.0 as b")
+    settings = ModelSettings(density=Density(radius=2.0), partition=Partition(clusters=3))
+    before = places(spark)
+    labelled, report = model.compare_methods(df, ["a", "b"], "id", settings)
+    assert most == [1, 1, 1] and len(report.collect()) == 3
+    # a labelled frame and a report per method are all that is left
+    assert len(places(spark) - before) == 6
